@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import histogram_sort, host_rules, length_buckets, oracles, simhash
+from . import crf, histogram_sort, host_rules, length_buckets, oracles, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +25,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return crf.label(docs, crf.fit(docs))
+
+
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_buckets.length_buckets(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_host_rules, op5_histogram_sort, op7_simhash, op9_length_buckets)
+    f.__name__: f for f in (op4_host_rules, op5_histogram_sort, op7_simhash, op8_language_crf, op9_length_buckets)
 }
 ORACLES: dict[str, str] = {"op4_host_rules": oracles.HOST_RULES, "op9_length_buckets": oracles.LENGTH_BUCKETS}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Hashes, byte_strings, chunks, stored
+from .common import Index, byte_strings, chunks, stored
 from .components import components, forest
 
 BITS = 128
@@ -28,8 +28,7 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """(n, 2) 64-bit words; a text without words has the fingerprint 0."""
-    ids = Hashes(None)
-    ids.make = lambda w: len(ids)
+    ids = Index()
     sets = [list(set(map(ids.__getitem__, t.split()))) for t in texts]
     if not ids:
         return np.zeros((len(texts), 2), np.uint64)
