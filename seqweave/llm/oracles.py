@@ -40,3 +40,15 @@ r AS (SELECT doc_id, n_tokens, bucket, edges[bucket + 1]::INT AS pad_to, row_num
 SELECT doc_id, n_tokens, bucket, pad_to, (rk // greatest(65536 // pad_to, 1))::BIGINT AS batch, (rk % greatest(65536 // pad_to, 1))::BIGINT AS slot FROM r
 UNION ALL SELECT doc_id, n_tokens, NULL, NULL, NULL, NULL FROM d WHERE n_tokens = 0
 """
+
+DUPLICATE_SPANS = rf"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, regexp_extract_all(text, '{_W}') AS w FROM d),
+g AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS s, w FROM w WHERE len(w) >= 50),
+k AS (SELECT doc_id, s, md5(array_to_string(w[s + 1:s + 50], ' ')) AS h FROM g),
+f AS (SELECT h, min(doc_id) AS ref FROM k GROUP BY h),
+x AS (SELECT k.doc_id, s, ref FROM k JOIN f USING (h) WHERE ref < k.doc_id),
+n AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM x),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS grp FROM n)
+SELECT doc_id, min(s)::INT AS start, (max(s) + 50)::INT AS stop, arg_min(ref, s) AS ref_doc_id FROM i GROUP BY doc_id, grp
+"""

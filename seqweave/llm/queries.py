@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, histogram_sort, host_rules, length_buckets, oracles, simhash
+from . import crf, histogram_sort, host_rules, length_buckets, oracles, relative_lz, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.duplicate_spans(documents(spark, sf_dir))
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(documents(spark, sf_dir))
 
@@ -35,6 +39,6 @@ def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_host_rules, op5_histogram_sort, op7_simhash, op8_language_crf, op9_length_buckets)
+    f.__name__: f for f in (op2_relative_lz, op4_host_rules, op5_histogram_sort, op7_simhash, op8_language_crf, op9_length_buckets)
 }
-ORACLES: dict[str, str] = {"op4_host_rules": oracles.HOST_RULES, "op9_length_buckets": oracles.LENGTH_BUCKETS}
+ORACLES: dict[str, str] = {"op2_relative_lz": oracles.DUPLICATE_SPANS, "op4_host_rules": oracles.HOST_RULES, "op9_length_buckets": oracles.LENGTH_BUCKETS}
