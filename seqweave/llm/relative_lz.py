@@ -64,14 +64,16 @@ def parse(batches, least: int):
             known = seen.get(words)
             if known is None:
                 found = block.factors(words, last, key)
-            else:  # the same passage again: one factor from end to end
-                found = [(0, last + least, known[1])] if known[0] != key else block.factors(words, last, key)
+            elif known != key:  # the same passage again: one factor from end to end
+                found = [(0, last + least, block.index[words[: block.width]][3])]
+            else:
+                found = block.factors(words, last, key)
             for i, n, ref in found:
                 for r, v in zip(rows, (doc_id, key, start + i, start + i + n, ref)):
                     r.append(v)
             if known is None:
                 block.add(words, last, key, doc_id)
-                seen[words] = (key, doc_id)
+                seen[words] = key
         yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "key", "start", "stop", "ref_doc_id"])
 
 
