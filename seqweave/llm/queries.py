@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, histogram_sort, host_rules, length_buckets, oracles, relative_lz, simhash
+from . import crf, histogram_sort, host_rules, length_buckets, oracles, relative_lz, simhash, suffix_sort
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.histogram_sort(documents(spark, sf_dir))
 
 
+def op6_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sort.duplicate_spans(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -39,6 +43,6 @@ def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_relative_lz, op4_host_rules, op5_histogram_sort, op7_simhash, op8_language_crf, op9_length_buckets)
+    f.__name__: f for f in (op2_relative_lz, op4_host_rules, op5_histogram_sort, op6_suffix_sort, op7_simhash, op8_language_crf, op9_length_buckets)
 }
-ORACLES: dict[str, str] = {"op2_relative_lz": oracles.DUPLICATE_SPANS, "op4_host_rules": oracles.HOST_RULES, "op9_length_buckets": oracles.LENGTH_BUCKETS}
+ORACLES: dict[str, str] = {"op2_relative_lz": oracles.DUPLICATE_SPANS, "op4_host_rules": oracles.HOST_RULES, "op6_suffix_sort": oracles.DUPLICATE_SPANS, "op9_length_buckets": oracles.LENGTH_BUCKETS}
