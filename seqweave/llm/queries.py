@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, histogram_sort, host_rules, length_buckets, oracles, relative_lz, simhash, suffix_sort
+from . import crf, histogram_sort, host_rules, length_buckets, oracles, pseudonyms, relative_lz, simhash, suffix_sort
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, sf_dir), count="n_private")
+
+
 def op2_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz.duplicate_spans(documents(spark, sf_dir))
 
@@ -43,6 +47,6 @@ def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_relative_lz, op4_host_rules, op5_histogram_sort, op6_suffix_sort, op7_simhash, op8_language_crf, op9_length_buckets)
+    f.__name__: f for f in (op1_pseudonyms, op2_relative_lz, op4_host_rules, op5_histogram_sort, op6_suffix_sort, op7_simhash, op8_language_crf, op9_length_buckets)
 }
 ORACLES: dict[str, str] = {"op2_relative_lz": oracles.DUPLICATE_SPANS, "op4_host_rules": oracles.HOST_RULES, "op6_suffix_sort": oracles.DUPLICATE_SPANS, "op9_length_buckets": oracles.LENGTH_BUCKETS}
