@@ -1,15 +1,65 @@
-"""From raw documents to packed batches; each stage's result is written and read again by whoever runs it."""
+"""From raw documents to packed batches; each stage's result is written and read again as the next one's input.
+
+A document without doc_id goes through the stages like any other; what each stage does with nulls, empty and
+repeated rows is told by the operator that it calls.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from seqweave.llm import common, crf, length_buckets, pseudonyms, relative_lz, simhash
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model accepts; ``lang`` becomes what it found."""
+    return crf.accepted(docs, crf.fit(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least doc_id; rows without doc_id stay."""
+    kept = simhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return named.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one holds."""
+    return relative_lz.remove_duplicates(docs)
+
+
+def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms for personal data."""
+    return pseudonyms.pseudonymise(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The batch and slot of every document."""
+    return length_buckets.length_buckets(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("near copies", drop_near_copies),
+    ("repeats", drop_repeats),
+    ("private data", hide_private),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: SQL can't express the language model, so the stages are tested against brute-force versions
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; every result but the last is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.stored(docs, name.replace(" ", "-"))
     return docs

@@ -13,8 +13,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import Index, byte_strings, chunks, list_array, ragged
 
@@ -226,8 +228,6 @@ def train(sample: list[tuple[str, str]], rounds: int = 30, seed: int = 7) -> Mod
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 400) -> Model:
     """Train on at most ``sample_rows`` labelled documents of each language, those with the least hash of doc_id and text."""
-    from pyspark.sql import Window as W
-
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id)).alias("h"))
     narrow = known.select("l", "h").withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("n") <= sample_rows)
     edge = narrow.groupBy("l").agg(F.max("h").alias("edge")).collect()
@@ -243,6 +243,64 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
 SCHEMA = "doc_id long, lang string, share double, certainty double, n_words int, spans array<struct<start:int,end:int,lang:string>>, rejected boolean"
 
 
+class Reader:
+    """Labels texts; the scores of words seen before are kept as far as memory allows."""
+
+    def __init__(self, model: Model, least_certainty: float):
+        self.model, self.least_certainty = model, least_certainty
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids, self.scores, self.lettered = Index(), np.zeros((0, len(self.model.languages)), np.float32), np.zeros(0, bool)
+
+    def read(self, texts: list[bytes]) -> list[pa.Array]:
+        """Columns lang, share, certainty, n_words, spans, rejected of SCHEMA."""
+        if len(self.ids) > 1 << 20:
+            self.forget()
+        model, ids, n, known = self.model, self.ids, len(texts), len(self.ids)
+        L, names = len(model.languages), pa.array(model.languages, pa.string())
+        flat, sizes = [], np.zeros(n, np.int64)
+        for i, t in enumerate(texts):
+            words = t.split()
+            sizes[i] = len(words)
+            flat.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        lang, share, certainty = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        run_start = run_end = run_lang = np.zeros(0, np.int64)
+        run_count = np.zeros(n, np.int64)
+        if L and len(flat):
+            if len(ids) > known:
+                words = list(islice(ids, known, None))
+                self.scores = np.concatenate([self.scores, np.exp(np.clip(emissions(model.weights, words), -12, 12))])
+                self.lettered = np.concatenate([self.lettered, has_letter(words)])
+            some = np.flatnonzero(sizes)
+            marg = forward_backward(self.scores[flat], sizes[some], model.start, model.transition)
+            best, top = marg.argmax(axis=1), marg.max(axis=1)
+            at = np.cumsum(sizes[some]) - sizes[some]
+            counts = np.stack([np.add.reduceat((best == k).astype(np.int64), at) for k in range(L)], axis=1)
+            lang[some] = counts.argmax(axis=1)
+            share[some] = counts.max(axis=1) / sizes[some]
+            real = self.lettered[flat]
+            certainty[some] = np.add.reduceat(np.where(real, top, 0).astype(np.float64), at) / np.maximum(np.add.reduceat(real.astype(np.int64), at), 1)
+            new = np.ones(len(best), bool)
+            new[1:] = best[1:] != best[:-1]
+            new[at] = True
+            r = np.flatnonzero(new)
+            doc = np.repeat(some, sizes[some])[r]
+            offset = np.zeros(n, np.int64)
+            offset[some] = at
+            run_start, run_end, run_lang = r - offset[doc], np.append(r[1:], len(best)) - offset[doc], best[r]
+            run_count = np.bincount(doc, minlength=n)
+        none = (sizes == 0) | (L == 0)
+        shown = names.take(pa.array(run_lang)) if len(run_lang) else pa.array([], pa.string())
+        spans = pa.StructArray.from_arrays([pa.array(run_start, pa.int32()), pa.array(run_end, pa.int32()), shown], names=["start", "end", "lang"])
+        return [
+            names.take(pa.array(lang, mask=none)) if L else pa.nulls(n, pa.string()),
+            pa.array(np.round(share, 6)), pa.array(np.round(certainty, 6)), pa.array(sizes, pa.int32()),
+            list_array(spans, run_count), pa.array(none | (certainty < self.least_certainty)),
+        ]
+
+
 def label(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", least_certainty: float = 0.45) -> DataFrame:
     """Label every word: doc_id, lang (of most words), share (of words in it), certainty, n_words, spans, rejected.
 
@@ -252,63 +310,25 @@ def label(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     Equal counts go to the language first in order. Repeated rows are each labelled; an empty table, or one
     without labels to train on, gives no spans. Other columns are not read.
     """
-    sc = df.sparkSession.sparkContext
-    shared = sc.broadcast((model.languages, model.weights, model.start, model.transition))
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        languages, weights, start, a = shared.value
-        L = len(languages)
-        names = pa.array(languages, pa.string())
-        ids, scores, lettered = Index(), np.zeros((0, L), np.float32), np.zeros(0, bool)
+        reader = Reader(shared.value, least_certainty)
         for part in chunks(batches, "t"):
-            texts = byte_strings(part.column("t"))
-            if len(ids) > 1 << 20:  # scores of words seen before in this partition are kept, as far as memory allows
-                ids, scores, lettered = Index(), scores[:0], lettered[:0]
-            known = len(ids)
-            flat, sizes = [], np.zeros(len(texts), np.int64)
-            for i, t in enumerate(texts):
-                words = t.split()
-                sizes[i] = len(words)
-                flat.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-            flat = np.concatenate(flat)
-            n = len(texts)
-            lang, share, certainty = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            run_start = run_end = run_lang = np.zeros(0, np.int64)
-            run_count = np.zeros(n, np.int64)
-            if L and len(flat):
-                if len(ids) > known:
-                    words = list(islice(ids, known, None))
-                    scores = np.concatenate([scores, np.exp(np.clip(emissions(weights, words), -12, 12))])
-                    lettered = np.concatenate([lettered, has_letter(words)])
-                e = scores[flat]
-                some = np.flatnonzero(sizes)
-                marg = forward_backward(e, sizes[some], start, a)
-                best = marg.argmax(axis=1)
-                top = marg.max(axis=1)
-                at = np.cumsum(sizes[some]) - sizes[some]
-                counts = np.stack([np.add.reduceat((best == k).astype(np.int64), at) for k in range(L)], axis=1)
-                lang[some] = counts.argmax(axis=1)
-                share[some] = counts.max(axis=1) / sizes[some]
-                real = lettered[flat]
-                certainty[some] = np.add.reduceat(np.where(real, top, 0).astype(np.float64), at) / np.maximum(np.add.reduceat(real.astype(np.int64), at), 1)
-                new = np.ones(len(best), bool)
-                new[1:] = best[1:] != best[:-1]
-                new[at] = True
-                r = np.flatnonzero(new)
-                ends = np.append(r[1:], len(best))
-                doc = np.repeat(some, sizes[some])[r]
-                offset = np.zeros(n, np.int64)
-                offset[some] = at
-                run_start, run_end, run_lang = r - offset[doc], ends - offset[doc], best[r]
-                run_count = np.bincount(doc, minlength=n)
-            none = (sizes == 0) | (L == 0)
-            spans = list_array(
-                pa.StructArray.from_arrays([pa.array(run_start, pa.int32()), pa.array(run_end, pa.int32()), names.take(pa.array(run_lang)) if len(run_lang) else pa.array([], pa.string())], names=["start", "end", "lang"]),
-                run_count,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [part.column("d"), names.take(pa.array(lang, mask=none)) if L else pa.nulls(n, pa.string()), pa.array(np.round(share, 6)), pa.array(np.round(certainty, 6)), pa.array(sizes, pa.int32()), spans, pa.array(none | (certainty < least_certainty))],
-                names=["doc_id", "lang", "share", "certainty", "n_words", "spans", "rejected"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column("d"), *reader.read(byte_strings(part.column("t")))], names=["doc_id", "lang", "share", "certainty", "n_words", "spans", "rejected"])
 
     return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
+
+
+def accepted(df: DataFrame, model: Model, text: str = "text", lang: str = "lang", least_certainty: float = 0.45) -> DataFrame:
+    """The rows of ``df`` that ``label`` doesn't reject, ``lang`` set to the language found; no exchange."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        reader = Reader(shared.value, least_certainty)
+        for part in chunks(batches, text):
+            found, _, _, _, _, rejected = reader.read(byte_strings(part.column(text)))
+            cols = [found if name == lang else c for name, c in zip(part.schema.names, part.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pc.invert(rejected))
+
+    return df.mapInArrow(run, df.schema)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROUNDS = 10
 DEFAULT_KEY = b"replace this key in production"
@@ -235,7 +236,7 @@ def pseudonymise(df: DataFrame, text: str = "text", n_chars: str = "n_chars", ke
                 names.append(count)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = kept.schema.add(count, "int") if count else kept.schema
+    schema = T.StructType([*kept.schema.fields, *([T.StructField(count, T.IntegerType())] if count else [])])
     out = kept.mapInArrow(run, schema)
     if n_chars in df.columns:
         out = out.withColumn(n_chars, F.when(F.col(text).isNull(), F.col(n_chars)).otherwise(F.length(text)).cast(df.schema[n_chars].dataType))
