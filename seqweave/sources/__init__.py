@@ -1,0 +1 @@
+from .files import *  # noqa: F403
