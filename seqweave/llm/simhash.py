@@ -145,9 +145,10 @@ def near_edges(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20) ->
     jobs = [(s, g, h) for s, r in enumerate(radii) if r >= 0 for g in range(1 << p) for h in range(g, 1 << p) if (g ^ h).bit_count() <= r]
 
     def find(batches):
-        parts = pa.Table.from_batches(list(batches))
-        if not parts.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        parts = pa.Table.from_batches(held)
         job = parts.column("job").to_numpy()
         for j in np.unique(job):
             mine = parts.filter(pa.array(job == j))
