@@ -105,6 +105,7 @@ class Stream:
                 if i == len(timed) - 1:
                     p[1] = self.seconds(granule)
                 elif before is not None and (lo := self.seconds(before)) is not None:
+                    lo = max(lo, 0.0)  # a stream's first samples may lie before its start
                     p[1] = lo + (self.seconds(granule) - lo) * (i + 1) / len(timed)
         if granule >= 0 and done:
             self._granule = granule
