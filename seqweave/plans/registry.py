@@ -330,7 +330,7 @@ def lang_suffix_strip(spark, sf_dir):
 @query(r"""WITH t AS (SELECT doc_id, '(' || text[1:20] || ')' || '{x}' || text[21:200] AS t FROM documents),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\{[^}]*\}', '', 'g'), '\\[Nn]', '', 'g') AS t FROM t),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\([^()]*\)', '', 'g'), '\([^()]*\)', '', 'g'), '\([^()]*\)', '', 'g'), '\([^()]*\)', '', 'g') AS t FROM a),
-c AS (SELECT doc_id, length(regexp_replace(t, '\s+', '', 'g')) AS chars FROM b)
+c AS (SELECT doc_id, length(regexp_replace(t, '\s+', '', 'g'))::INT AS chars FROM b)
 SELECT doc_id, chars, CASE WHEN chars >= 2 THEN greatest(0.5::DOUBLE, chars * 0.06::DOUBLE) END AS pause FROM c""")
 def visible_chars_pause(spark, sf_dir):
     t = F.concat(F.lit("("), F.substring("text", 1, 20), F.lit("){x}"), F.substring("text", 21, 180))
