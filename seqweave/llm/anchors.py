@@ -100,11 +100,12 @@ def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
 
 
 def contexts(df: DataFrame, least: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each run of windows around a repeated pick: gram, doc_id, key, start, lead, last, words.
+    """One row for each passage around a repeated pick: gram, doc_id, key, starts, lead, last, words.
 
-    ``words`` holds 32-bit word hashes (little-endian) from word ``start`` of the document on; the pick stands
-    at ``lead`` of them, and the run's windows of ``least`` words begin at 0 .. ``last``. Every window whose pick
-    repeats stands in exactly one row, and equal windows stand under the same gram with the same distance to it.
+    ``words`` holds 32-bit word hashes (little-endian) from each word of ``starts`` of the document on; the pick
+    stands at ``lead`` of them, and the passage's windows of ``least`` words begin at 0 .. ``last``. Every window whose
+    pick repeats stands in exactly one row, and equal windows stand under the same gram with the same distance to it.
+    A passage that a document repeats word by word, as looping text does thousands of times, is one row.
     """
     docs = documents_with_key(df, doc_id, text)
     marked = docs.join(repeated_anchors(docs, least), "key").dropDuplicates(["key"])
@@ -121,16 +122,30 @@ def contexts(df: DataFrame, least: int, doc_id: str = "doc_id", text: str = "tex
             keep = np.isin(at, wanted)
             at, first, final, grams, owner = at[keep], first[keep], final[keep], grams[keep], owner[keep]
             size = final - first + least
-            data = words[ragged(first, size)]
-            offsets = np.append(0, np.cumsum(4 * size)).astype(np.int32)
-            blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-            own = pa.array(owner)
+            data, edges = words[ragged(first, size)].tobytes(), np.append(0, np.cumsum(4 * size)).tolist()
+            rows: dict[tuple, list[int]] = {}
+            for i, (d, g, start, lead, last) in enumerate(zip(owner.tolist(), grams.view(np.int64).tolist(), (first - base[owner]).tolist(), (at - first).tolist(), (final - first).tolist())):
+                rows.setdefault((d, g, lead, last, data[edges[i] : edges[i + 1]]), []).append(start)
+            own, gram, lead, last, blob = zip(*rows) if rows else ((),) * 5
+            own = pa.array(own, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams.view(np.int64)), part.column("doc_id").take(own), part.column("key").take(own), pa.array(first - base[owner], pa.int32()), pa.array(at - first, pa.int32()), pa.array(final - first, pa.int32()), blob],
-                names=["gram", "doc_id", "key", "start", "lead", "last", "words"],
+                [pa.array(gram, pa.int64()), part.column("doc_id").take(own), part.column("key").take(own), pa.array(rows.values(), pa.list_(pa.int32())), pa.array(lead, pa.int32()), pa.array(last, pa.int32()), pa.array(blob, pa.binary())],
+                names=["gram", "doc_id", "key", "starts", "lead", "last", "words"],
             )
 
-    return marked.select("key", "doc_id", "text", "at").mapInArrow(cut, "gram long, doc_id long, key long, start int, lead int, last int, words binary")
+    return marked.select("key", "doc_id", "text", "at").mapInArrow(cut, "gram long, doc_id long, key long, starts array<int>, lead int, last int, words binary")
+
+
+def spread(starts: list[int], i: int, n: int) -> list[tuple[int, int]]:
+    """[start, stop) of ``n`` words at ``i`` of a passage, at all its places; those that touch are joined."""
+    out, begin, end = [], starts[0] + i, starts[0] + i + n
+    for s in starts:
+        if s + i > end:
+            out.append((begin, end))
+            begin = s + i
+        end = s + i + n
+    out.append((begin, end))
+    return out
 
 
 SPANS = "doc_id long, key long, start int, stop int, ref_doc_id long"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import SPANS, contexts, merge_spans
+from .anchors import SPANS, contexts, merge_spans, spread
 from .common import row_key
 
 _WORD = re.compile(rb"[^ \t\n\x0b\f\r]+")
@@ -57,8 +57,8 @@ def parse(batches, least: int):
     gram, block, seen = None, None, {}
     for batch in batches:
         rows = [], [], [], [], []
-        cols = [batch.column(c).to_pylist() for c in ("gram", "doc_id", "key", "start", "last", "words")]
-        for g, doc_id, key, start, last, words in zip(*cols):
+        cols = [batch.column(c).to_pylist() for c in ("gram", "doc_id", "key", "starts", "last", "words")]
+        for g, doc_id, key, starts, last, words in zip(*cols):
             if g != gram:
                 gram, block, seen = g, Block(least), {}
             known = seen.get(words)
@@ -69,8 +69,9 @@ def parse(batches, least: int):
             else:
                 found = block.factors(words, last, key)
             for i, n, ref in found:
-                for r, v in zip(rows, (doc_id, key, start + i, start + i + n, ref)):
-                    r.append(v)
+                for begin, end in spread(starts, i, n):
+                    for r, v in zip(rows, (doc_id, key, begin, end, ref)):
+                        r.append(v)
             if known is None:
                 block.add(words, last, key, doc_id)
                 seen[words] = key
@@ -79,7 +80,7 @@ def parse(batches, least: int):
 
 def document_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
     """(doc_id, key, spans) of the documents that repeat ``least`` words or more of an earlier document."""
-    passages = contexts(df, least, doc_id, text).repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_last(), "key", "start")
+    passages = contexts(df, least, doc_id, text).repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_last(), "key", "starts")
     return merge_spans(passages.mapInArrow(lambda batches: parse(batches, least), SPANS))
 
 

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import K, SPANS, contexts, merge_spans
+from .anchors import K, SPANS, contexts, merge_spans, spread
 
-#: gram, doc_id, has doc_id, key, start, lead, last, shared words, bytes of the rest
-_HEAD = "<Qq?qiiiHI"
+#: gram, doc_id, has doc_id, key, number of starts, lead, last, shared words, bytes of the rest; the starts, the rest and the words before follow
+_HEAD = "<Qq?qIiiHI"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 
 
@@ -42,26 +42,28 @@ def common_words(a: bytes, b: bytes, start: int = 0) -> int:
 
 
 def encode_run(suffixes: list[tuple]) -> bytes:
-    """Front-code suffixes (gram, words, left, doc_id, key, start, lead, last) that are sorted by gram and words."""
+    """Front-code suffixes (gram, words, left, doc_id, key, starts, lead, last) that are sorted by gram and words."""
     out, gram, before = [], None, b""
-    for g, words, left, doc_id, key, start, lead, last in suffixes:
+    for g, words, left, doc_id, key, starts, lead, last in suffixes:
         shared = common_words(before, words) if g == gram else 0
         rest = words[4 * shared :]
-        out += (struct.pack(_HEAD, g, doc_id or 0, doc_id is not None, key, start, lead, last, shared, len(rest)), rest, left)
+        out += (struct.pack(_HEAD, g, doc_id or 0, doc_id is not None, key, len(starts), lead, last, shared, len(rest)), struct.pack(f"<{len(starts)}i", *starts), rest, left)
         gram, before = g, words
     return b"".join(out)
 
 
 def decode_run(blob: bytes) -> Iterator[tuple]:
-    """(gram, shared words with the suffix before, words, left, doc_id, key, start, lead, last)."""
+    """(gram, shared words with the suffix before, words, left, doc_id, key, starts, lead, last)."""
     at, words = 0, b""
     while at < len(blob):
-        g, doc_id, known, key, start, lead, last, shared, n = struct.unpack_from(_HEAD, blob, at)
+        g, doc_id, known, key, places, lead, last, shared, n = struct.unpack_from(_HEAD, blob, at)
         at += _HEAD_SIZE
+        starts = struct.unpack_from(f"<{places}i", blob, at)
+        at += 4 * places
         words = words[: 4 * shared] + blob[at : at + n]
         left = blob[at + n : at + n + 4 * lead]
         at += n + 4 * lead
-        yield g, shared, words, left, doc_id if known else None, key, start, lead, last
+        yield g, shared, words, left, doc_id if known else None, key, starts, lead, last
 
 
 class LoserTree:
@@ -130,7 +132,7 @@ def cluster_spans(members: list[tuple[int, tuple]], least: int) -> Iterator[tupl
     deepest = max(m[7] for _, m in members)
     for turn in (0, 1):
         interval = [0] * (deepest + 1)
-        for shared, (_, _, _, left, doc_id, key, start, lead, last) in members:
+        for shared, (_, _, _, left, doc_id, key, starts, lead, last) in members:
             order = (doc_id is None, doc_id or 0, key)
             for d in range(min(deepest, least - shared - 1) + 1):
                 interval[d] += 1  # least - d words are more than are shared: another interval begins
@@ -147,10 +149,12 @@ def cluster_spans(members: list[tuple[int, tuple]], least: int) -> Iterator[tupl
                     if begin is None:
                         begin = (s, ref)
                 elif begin is not None:
-                    yield doc_id, key, start + begin[0], start + s - 1 + least, begin[1]
+                    for a, b in spread(starts, begin[0], s - 1 - begin[0] + least):
+                        yield doc_id, key, a, b, begin[1]
                     begin = None
             if turn and begin is not None:
-                yield doc_id, key, start + begin[0], start + last + least, begin[1]
+                for a, b in spread(starts, begin[0], last - begin[0] + least):
+                    yield doc_id, key, a, b, begin[1]
 
 
 def sorted_runs(passages: DataFrame, ranges: int) -> DataFrame:
@@ -159,8 +163,8 @@ def sorted_runs(passages: DataFrame, ranges: int) -> DataFrame:
     def sort(batches):
         for table in _gather(batches, 48 << 20):
             suffixes = []
-            for g, doc_id, key, start, lead, last, words in zip(*(table.column(c).to_pylist() for c in ("gram", "doc_id", "key", "start", "lead", "last", "words"))):
-                suffixes.append((g & 0xFFFFFFFFFFFFFFFF, words[4 * lead :], words[: 4 * lead], doc_id, key, start, lead, last))
+            for g, doc_id, key, starts, lead, last, words in zip(*(table.column(c).to_pylist() for c in ("gram", "doc_id", "key", "starts", "lead", "last", "words"))):
+                suffixes.append((g & 0xFFFFFFFFFFFFFFFF, words[4 * lead :], words[: 4 * lead], doc_id, key, starts, lead, last))
             suffixes.sort(key=lambda s: (s[0], s[1], s[3] is None, s[3] or 0, s[4], s[5]))
             by: dict[int, list] = {}
             for s in suffixes:
