@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..schema import COMMA, COMMA_KEEP, COMMA_NEXT, COMMA_TOKENS, GROUP_TOKENS, LINE_CHARS, MERGE_GAP, SENTENCE_ENDERS, TINY_CHARS
-from .islands import label_runs, last_char_in, over, speaker_change
+from .islands import clustered, label_runs, last_char_in, over, speaker_change
 
 
 def fold_labels(df: DataFrame, key: Sequence[str], inputs: Sequence[str], start: Callable, label: str, order: Sequence[str] = ("pos",)) -> DataFrame:
@@ -34,10 +34,10 @@ def fold_labels(df: DataFrame, key: Sequence[str], inputs: Sequence[str], start:
                 if step is None or group != now:
                     now, step = group, start()
                 out.append(step(*row))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*names, label])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.int32())], names=[*names, label])
 
     schema = T.StructType([*df.schema.fields, T.StructField(label, T.IntegerType())])
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+    return clustered(df, key, order).mapInArrow(run, schema)
 
 
 def token_capped_merge(df: DataFrame, key: Sequence[str], most: int = GROUP_TOKENS, least_gap=MERGE_GAP, label: str = "group_id", order: Sequence[str] = ("pos",)) -> DataFrame:
@@ -177,8 +177,8 @@ def merge_tiny_segments(df: DataFrame, key: Sequence[str], tiny: int = TINY_CHAR
 
         schema = None
         for batch in batches:
-            schema = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            schema = pa.schema([batch.schema.field(i) for i in range(len(names))])
+            for row in zip(*(c.to_pylist() for c in batch.columns[: len(names)])):
                 u = list(row)
                 group = tuple(u[i] for i in k)
                 if group != now:
@@ -201,4 +201,4 @@ def merge_tiny_segments(df: DataFrame, key: Sequence[str], tiny: int = TINY_CHAR
         if out:
             yield batch_of(out, schema)
 
-    return df.repartition(*key).sortWithinPartitions(*key, "pos").mapInArrow(run, df.schema)
+    return clustered(df, key).mapInArrow(run, df.schema)

@@ -18,6 +18,15 @@ def over(key: Sequence[str], order: Sequence[str] = ("pos",)):
     return W.partitionBy(*key).orderBy(*order)
 
 
+def clustered(df: DataFrame, key: Sequence[str], order: Sequence[str] = ("pos",)) -> DataFrame:
+    """Rows of a key together and in order, with a last column __n that numbers them.
+
+    A window asks for that distribution, so no exchange is added where the rows have it already, as after a
+    split over the same key; an explicit repartition would always move them.
+    """
+    return df.withColumn("__n", F.row_number().over(over(key, order)))
+
+
 def label_runs(df: DataFrame, breaks: Column, key: Sequence[str], label: str, order: Sequence[str] = ("pos",)) -> DataFrame:
     """Number runs from 0; ``breaks`` is looked at on every row but the first of its key."""
     flag = F.when(F.row_number().over(over(key, order)) > 1, F.coalesce(breaks, F.lit(False))).otherwise(F.lit(False))

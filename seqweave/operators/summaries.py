@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..schema import CORE, TILE, WINDOW
+from .islands import clustered
 
 
 def window_estimate(n: Column, core: int = CORE) -> Column:
@@ -122,7 +123,7 @@ def summary_loop(sentences: DataFrame, key: Sequence[str], summarise: Callable[[
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(sentences.schema[c].dataType) for c in k]
-    return sentences.repartition(*k).sortWithinPartitions(*k, "pos").select(*k, "text").mapInArrow(run, schema)
+    return clustered(sentences, k).select(*k, "text", "__n").mapInArrow(run, schema)
 
 
 def topic_times(topics: DataFrame, blocks: DataFrame, key: Sequence[str]) -> DataFrame:

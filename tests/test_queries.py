@@ -52,6 +52,14 @@ def test_one_exchange_for_consecutive_splits(spark):
     assert plan.count("Exchange hashpartitioning(k") == 1
 
 
+def test_a_fold_after_a_split_adds_no_exchange(spark):
+    from seqweave.operators import folds, islands
+
+    d = spark.createDataFrame([("a", 0, "x", 0, 1, "s")], "k string, pos int, text string, start long, end long, speaker string").repartition(3)
+    d = folds.merge_tiny_segments(islands.segments(d, ["k"]), ["k"])
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(k") == 1 and d.count() == 1
+
+
 def test_folds_survive_empty_tables(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     from seqweave.operators import folds
