@@ -22,7 +22,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def word_hashes(texts: list[bytes], seen: Hashes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of all words laid end to end, and the number of words of each text."""
     seen = Hashes(xxhash.xxh32_intdigest) if seen is None else seen
-    if len(seen) > 1 << 20:
+    if len(seen) > 1 << 18:
         seen.clear()
     sizes, parts = np.zeros(len(texts), np.int64), []
     for i, t in enumerate(texts):
@@ -102,7 +102,8 @@ def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
 def contexts(df: DataFrame, least: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each passage around a repeated pick: gram, doc_id, key, starts, lead, last, words.
 
-    ``words`` holds 32-bit word hashes (little-endian) from each word of ``starts`` of the document on; the pick
+    ``starts`` lists the passage's places in the document as progressions (first, step, count), end to end.
+    ``words`` holds 32-bit word hashes (little-endian) from each of these words on; the pick
     stands at ``lead`` of them, and the passage's windows of ``least`` words begin at 0 .. ``last``. Every window whose
     pick repeats stands in exactly one row, and equal windows stand under the same gram with the same distance to it.
     A passage that a document repeats word by word, as looping text does thousands of times, is one row.
@@ -129,21 +130,39 @@ def contexts(df: DataFrame, least: int, doc_id: str = "doc_id", text: str = "tex
             own, gram, lead, last, blob = zip(*rows) if rows else ((),) * 5
             own = pa.array(own, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram, pa.int64()), part.column("doc_id").take(own), part.column("key").take(own), pa.array(rows.values(), pa.list_(pa.int32())), pa.array(lead, pa.int32()), pa.array(last, pa.int32()), pa.array(blob, pa.binary())],
+                [pa.array(gram, pa.int64()), part.column("doc_id").take(own), part.column("key").take(own), pa.array(map(progressions, rows.values()), pa.list_(pa.int32())), pa.array(lead, pa.int32()), pa.array(last, pa.int32()), pa.array(blob, pa.binary())],
                 names=["gram", "doc_id", "key", "starts", "lead", "last", "words"],
             )
 
     return marked.select("key", "doc_id", "text", "at").mapInArrow(cut, "gram long, doc_id long, key long, starts array<int>, lead int, last int, words binary")
 
 
+def progressions(places: list[int]) -> list[int]:
+    """Rising numbers as (first, step, count), end to end."""
+    if len(places) == 1:
+        return [places[0], 0, 1]
+    out, i = [], 0
+    while i < len(places):
+        step = places[i + 1] - places[i] if i + 1 < len(places) else 0
+        j = i + 1
+        while j < len(places) and places[j] - places[j - 1] == step:
+            j += 1
+        out += (places[i], step, j - i)
+        i = j
+    return out
+
+
 def spread(starts: list[int], i: int, n: int) -> list[tuple[int, int]]:
     """[start, stop) of ``n`` words at ``i`` of a passage, at all its places; those that touch are joined."""
-    out, begin, end = [], starts[0] + i, starts[0] + i + n
-    for s in starts:
-        if s + i > end:
-            out.append((begin, end))
-            begin = s + i
-        end = s + i + n
+    out, begin, end = [], None, -1
+    for first, step, count in zip(starts[::3], starts[1::3], starts[2::3]):
+        for a, b in [(first, first + (count - 1) * step)] if step <= n else [(first + k * step,) * 2 for k in range(count)]:
+            if begin is not None and a + i <= end:
+                end = b + i + n
+            else:
+                if begin is not None:
+                    out.append((begin, end))
+                begin, end = a + i, b + i + n
     out.append((begin, end))
     return out
 

@@ -161,7 +161,7 @@ def sorted_runs(passages: DataFrame, ranges: int) -> DataFrame:
     """(range, run): each task's suffixes, sorted, front-coded and cut by ranges of the gram."""
 
     def sort(batches):
-        for table in _gather(batches, 48 << 20):
+        for table in _gather(batches, 12 << 20):
             suffixes = []
             for g, doc_id, key, starts, lead, last, words in zip(*(table.column(c).to_pylist() for c in ("gram", "doc_id", "key", "starts", "lead", "last", "words"))):
                 suffixes.append((g & 0xFFFFFFFFFFFFFFFF, words[4 * lead :], words[: 4 * lead], doc_id, key, starts, lead, last))
