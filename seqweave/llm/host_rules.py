@@ -59,13 +59,14 @@ def host_rules(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     )
     flags = stored(judged, "rule-flags")  # texts are measured once, for the hosts and for the documents
     hosts = flags.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(r).alias(r) for r in RULES])
-    stats = hosts.agg(*[e for r in RULES for e in (F.avg(F.col(r) / F.col("n")).alias(f"m_{r}"), F.var_pop(F.col(r) / F.col("n")).alias(f"v_{r}"))])
+    # two numbers a rule, taken to the driver so that the table of hosts keeps the size it has at run time
+    stats = hosts.agg(*[e for r in RULES for e in (F.avg(F.col(r) / F.col("n")).alias(f"m_{r}"), F.var_pop(F.col(r) / F.col("n")).alias(f"v_{r}"))]).first()
     shrunk = []
     for r in RULES:
-        mean, var = F.col(f"m_{r}"), F.col(f"v_{r}")
-        weight = F.when(var > 1e-12, F.least(F.greatest(mean * (1 - mean) / F.greatest(var, F.lit(1e-12)) - 1, F.lit(1.0)), F.lit(10000.0))).otherwise(F.lit(10000.0))
-        shrunk.append((F.col(r) + mean * weight) / (F.col("n") + weight))
-    rated = hosts.crossJoin(F.broadcast(stats)).select("host", F.round(F.greatest(*shrunk), 6).alias("host_rate"))
+        mean, var = stats[f"m_{r}"] or 0.0, stats[f"v_{r}"] or 0.0
+        weight = min(max(mean * (1 - mean) / var - 1, 1.0), 10000.0) if var > 1e-12 else 10000.0
+        shrunk.append((F.col(r) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)))
+    rated = hosts.select("host", F.round(F.greatest(*shrunk), 6).alias("host_rate"))
     verdict = F.when(F.col("host_rate") > blocked_at, "blocked").when(F.col("host_rate") > strict_at, "strict").otherwise("open")
     n_failed = reduce(lambda a, b: a + b, [F.col(r) for r in RULES])
     allowed = F.when(F.col("host_verdict") == "blocked", 0).when(F.col("host_verdict") == "strict", 1).otherwise(fails)
