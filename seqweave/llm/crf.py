@@ -174,7 +174,7 @@ def train(sample: list[tuple[str, str]], rounds: int = 30, seed: int = 7) -> Mod
     ids = Index()
     pieces = []
     for lang, text in sample:
-        words = text.encode().split()[:2000]
+        words = text.encode().split()
         pieces += [(code[lang], [ids[w] for w in words[i : i + 24]]) for i in range(0, len(words), 24)]
     rng.shuffle(pieces)
     words = list(ids)
@@ -255,7 +255,7 @@ class Reader:
 
     def read(self, texts: list[bytes]) -> list[pa.Array]:
         """Columns lang, share, certainty, n_words, spans, rejected of SCHEMA."""
-        if len(self.ids) > 1 << 20:
+        if len(self.ids) > 1 << 18:
             self.forget()
         model, ids, n, known = self.model, self.ids, len(texts), len(self.ids)
         L, names = len(model.languages), pa.array(model.languages, pa.string())
