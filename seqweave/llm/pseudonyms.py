@@ -25,7 +25,7 @@ _FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _MONTHS = "January February March April May June July August September October November December".split()
 
 _KINDS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)++[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z]{2,24}(?!-*[A-Za-z0-9])"),
     ("secret", r"(?<![A-Za-z0-9_])(?i:token|secret|password|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Fa-f]{16,128}+(?![0-9A-Za-z])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"),

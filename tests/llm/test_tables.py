@@ -158,6 +158,15 @@ def test_values_keep_their_format_and_come_back(kind):
     assert change(wrong) == (wrong, 0)
 
 
+@pytest.mark.parametrize("after", [".", "...", ".\n", "\n", "", ". Then", "!", "-", "- or", ".)", "..com"])
+def test_addresses_before_a_mark(after):
+    change, back = pseudonyms.replacer(b"k"), pseudonyms.replacer(b"k", back=True)
+    text = f"write to john@example.com{after}"
+    new, n = change(text)
+    assert n == 1 and "john@example" not in new and new.endswith(f".com{after}") and back(new)[0] == text
+    pseudonyms.replacer(b"k")("a@" + "b." * 50_000 + "@" + "cc.-" * 30_000)
+
+
 def test_pseudonyms_of_odd_rows(spark, odd, odd_rows, empty, clashing):
     out = pseudonyms.pseudonymise(odd, count="n_private")
     assert sorted((r.text for r in out.collect()), key=repr) == sorted((r[1] for r in odd_rows), key=repr)
