@@ -28,7 +28,7 @@ _KINDS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z]{2,24}(?!-*[A-Za-z0-9])"),
     ("secret", r"(?<![A-Za-z0-9_])(?i:token|secret|password|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Fa-f]{16,128}+(?![0-9A-Za-z])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"),
+    ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("day", r"(?<![0-9A-Za-z-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9-])"),
     ("named", r"(?<![0-9A-Za-z])(?:[0-9]{1,2} (?:%(m)s) [0-9]{4}|(?:%(m)s) [0-9]{1,2}, [0-9]{4})(?![0-9])" % {"m": "|".join(_MONTHS)}),
@@ -36,6 +36,15 @@ _KINDS = (
     ("card", r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])"),
 )
 PRIVATE = "|".join(f"(?P<{k}>{p})" for k, p in _KINDS)
+_SINGLE = {k: re.compile(p) for k, p in _KINDS}
+_GROUP = re.compile("[0-9]+")
+#: How issuers write and begin card numbers; such ones are tried before others in a run of numbers.
+_CARD_SHAPES = {(n,) for n in range(13, 20)} | {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 5)}
+_ISSUER = re.compile("2[2-7]|3[04-9]|4|5[0-8]|6")
+#: Lengths of IBANs by country, also tried first.
+_IBAN = {c: int(n) for c, n in re.findall("([A-Z]{2})([0-9]{2})", "AD24AE23AL28AT20AZ28BA20BE16BG22BH22BR29CH21CR22CY28CZ24DE22DK18DO28EE20ES24FI18FO18FR27GB22GE22GI23GL18GR27GT28HR21HU28IE22IL23IS26IT27JO30KW30KZ20LB28LI21LT20LU20LV21MC27MD24ME22MK19MR27MT31MU30NL18NO15PK24PL28PS29PT25QA29RO24RS22SA24SE24SI19SK24SM27TN24TR26UA29VG24XK20")}
+#: Most digits of a national number behind the country's code, a trunk zero in brackets apart; other countries have E.164's 15 in all.
+_PHONE = {"1": 10, "7": 10, "20": 10, "27": 9, "30": 10, "31": 9, "32": 9, "33": 9, "34": 9, "36": 9, "39": 11, "40": 9, "41": 9, "44": 10, "45": 8, "46": 9, "47": 8, "48": 9, "49": 11, "52": 10, "55": 11, "60": 10, "61": 9, "64": 10, "65": 8, "81": 10, "82": 10, "86": 11, "90": 10, "91": 10, "351": 9, "352": 9, "353": 9, "358": 10, "420": 9, "421": 9}
 
 
 class Feistel:
@@ -186,29 +195,97 @@ def pseudonym(f: Feistel, kind: str, text: str, back: bool = False) -> str | Non
     return sign.join([*(f"{v:02d}" if wide else str(v) for v in two), str(day.year)])
 
 
+def _card_spans(text: str, start: int) -> list[tuple[int, int]]:
+    """Where a card number may stand in the run of digit groups at ``start``: likely ones of the run first, then those at its start."""
+    groups, at, total = [], start, 0
+    while total <= 38 and (m := _GROUP.match(text, at)):
+        groups.append(m.span())
+        total += m.end() - at
+        at = m.end() + 1
+        if text[m.end() : at] not in (" ", "-"):
+            break
+    if groups and groups[-1][1] < len(text) and re.match("[0-9A-Za-z]", text[groups[-1][1]]):
+        groups.pop()
+    likely, other, before = [], [], 0
+    for i, (a, b) in enumerate(groups):
+        if before > 19:
+            break
+        before += b - a
+        issued, sizes, digits = _ISSUER.match(text, a), (), 0
+        for c, d in groups[i:] if issued or not i else ():
+            digits += d - c
+            sizes += (d - c,) if len(sizes) < 6 else ()
+            if digits > 19 or i and len(sizes) > 5:
+                break
+            if digits >= 13 and issued and sizes in _CARD_SHAPES:
+                likely.append((a, d))
+            elif digits >= 13 and not i:
+                other.append((a, d))
+    return likely + other[::-1]
+
+
+def _spans(kind: str, m: re.Match) -> list[tuple[int, int]]:
+    """Parts of a match to try in turn: a number may have taken groups of another one behind it."""
+    text, (start, end) = m.string, m.span()
+    if kind == "card":
+        return _card_spans(text, start)
+    if kind == "iban":
+        likely, other = [], []
+        for a in (start, *(i + 1 for i in range(start, end) if text[i] == " ")):
+            one = _SINGLE[kind].match(text, a) if a == start or text[a : a + 2] in _IBAN else None
+            for b in (one.end(), *(i for i in range(one.end() - 1, a, -1) if text[i] == " ")) if one else ():
+                if b - a - text.count(" ", a, b) == _IBAN.get(text[a : a + 2]):
+                    likely.append((a, b))
+                elif a == start:
+                    other.append((a, b))
+        return likely + other
+    if kind == "phone" and text[start] == "+":
+        ends = [end, *(i for i in range(end - 1, start, -1) if text[i] in " .-" and text[i - 1] in "0123456789)")]
+
+        def fits(e: int) -> bool:
+            digits = re.sub("[^0-9]", "", text[start:e].replace("(0)", ""))
+            code = next((digits[:n] for n in (1, 2, 3) if digits[:n] in _PHONE), "")
+            return len(digits) - len(code) <= _PHONE.get(code, 15)
+
+        return [(start, e) for e in sorted(ends, key=lambda e: (not fits(e), -e))]
+    return [(start, end)]
+
+
 def replacer(key: bytes, back: bool = False):
     """A function from a text to its pseudonymised form and the number of values replaced."""
     f, pattern, known = Feistel(key), re.compile(PRIVATE), {}
     hint = re.compile("[0-9@]")
-
-    def one(m: re.Match) -> str:
-        kind, value = m.lastgroup, m.group()
-        if (kind, value) not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[kind, value] = pseudonym(f, kind, value, back)
-        new = known[kind, value]
-        if new is None and kind != "card" and len(value) > 12:  # may still hold a card number
-            return re.sub(_KINDS[-1][1], lambda c: pseudonym(f, "card", c.group(), back) or c.group(), value)
-        if new is not None:
-            one.n += 1
-        return value if new is None else new
+    kinds = [k for k, _ in _KINDS]
+
+    def found(m: re.Match) -> tuple[int, int, str] | None:
+        """The first valid value that begins with the match, of its kind or a later one, or a likely number in it."""
+        text, start = m.string, m.start()
+        for kind in kinds[kinds.index(m.lastgroup) :]:
+            one = m if kind == m.lastgroup else _SINGLE[kind].match(text, start)
+            for a, b in _spans(kind, one) if one else ():
+                value = text[a:b]
+                if (kind, value) not in known:
+                    if len(known) > 100_000:
+                        known.clear()
+                    known[kind, value] = pseudonym(f, kind, value, back)
+                if known[kind, value] is not None:
+                    return a, b, known[kind, value]
+        return None
 
     def run(text: str) -> tuple[str, int]:
         if not hint.search(text):
             return text, 0
-        one.n = 0
-        return pattern.sub(one, text), one.n
+        out, done, at, n = [], 0, 0, 0
+        while m := pattern.search(text, at):
+            hit = found(m)
+            if hit is None:
+                at = m.start() + 1  # another value may begin within
+                continue
+            a, b, new = hit
+            out += [text[done:a], new]
+            done = at = b
+            n += 1
+        return "".join([*out, text[done:]]), n
 
     return run
 

@@ -167,6 +167,25 @@ def test_addresses_before_a_mark(after):
     pseudonyms.replacer(b"k")("a@" + "b." * 50_000 + "@" + "cc.-" * 30_000)
 
 
+@pytest.mark.parametrize(
+    "value, rest",
+    [
+        ("4111 1111 1111 1111", " 12/25"), ("4111111111111111", " 123"), ("4111-1111-1111-1111", " 2020 2021"), ("378282246310005", " 12"), ("BE68 5390 0754 7034", " BIC"), ("BE68539007547034", " KREDBEBB"), ("DE89370400440532013000", " BANK OF"),
+        ("+33 6 12 34 56 78", " 2020"), ("+1 212-555-0100", " 2020"), ("+33612345678", " 2020"), ("+1 212.555.0100", "."), ("+49 (0)30 1234567", ""),
+    ],
+)
+def test_numbers_before_other_numbers(value, rest):
+    change, back = pseudonyms.replacer(b"k"), pseudonyms.replacer(b"k", back=True)
+    alone, n = change(value)
+    assert n == 1 and alone != value
+    for before in ("at ", "2020 " if value[0] == "4" else "x: "):
+        new, n = change(before + value + rest)
+        assert (new, n) == (before + alone + rest, 1) and back(new)[0] == before + value + rest
+    both, n = change(f"{value} and 2020-03-14, 8.8.8.8")
+    assert n == 3 and both.startswith(alone)
+    assert change(f"AB12 {value}{rest}") == (f"AB12 {alone}{rest}", 1)
+
+
 def test_pseudonyms_of_odd_rows(spark, odd, odd_rows, empty, clashing):
     out = pseudonyms.pseudonymise(odd, count="n_private")
     assert sorted((r.text for r in out.collect()), key=repr) == sorted((r[1] for r in odd_rows), key=repr)
