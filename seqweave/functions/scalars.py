@@ -120,14 +120,13 @@ def pause(chars: Column, per_char: float = 0.06, least: float = 0.5, from_chars:
 
 def balance_words(text: Column) -> Column:
     """Two lines of nearly equal length, cut between words; the first best place wins."""
-    words = F.split(text, " ")
-    n = F.size(words)
-
-    def at(k):
-        top, bottom = F.array_join(F.slice(words, F.lit(1), k), " "), F.array_join(F.slice(words, k + 1, n - k), " ")
-        return F.struct(F.abs(F.length(top) - F.length(bottom)).alias("d"), k.alias("k"), F.concat(top, F.lit("\n"), bottom).alias("t"))
-
-    return F.when(n < 2, text).otherwise(F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), at))["t"])
+    # the length of the upper line is the place of the blank, so the best one is the nearest to the middle on either side
+    size = F.length(text)
+    half = F.floor((size + 1) / 2).cast("int")
+    before, behind = F.instr(F.reverse(F.substring(text, F.lit(1), half)), " "), F.instr(F.substring(text, half + 1, F.lit(1 << 30)), " ")
+    left, right = half - before, half + behind - 1
+    at = F.when((before > 0) & ((behind == 0) | (F.abs(2 * left + 1 - size) <= F.abs(2 * right + 1 - size))), left).otherwise(right)
+    return F.when((before == 0) & (behind == 0), text).otherwise(F.concat(F.substring(text, F.lit(1), at), F.lit("\n"), F.substring(text, at + 2, F.lit(1 << 30))))
 
 
 def repair_block(text: Column, had_two_lines: Column, long_line: int = LONG_LINE) -> Column:

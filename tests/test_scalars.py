@@ -67,3 +67,22 @@ def test_interpolation_shares_time(spark):
     for i, (a, b) in enumerate([(1.0, 1.1), (1.1, 1.2), (1.2, 1.3), (1.3, 1.4)]):
         x, y = S.interpolate(L(1.0), L(1.4), L(i), L(4))
         assert value(spark, x) == pytest.approx(a) and value(spark, y) == pytest.approx(b)
+
+
+def test_lines_are_balanced_at_any_length(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+
+    def brute(t):
+        w = t.split(" ")
+        cuts = [(" ".join(w[:k]), " ".join(w[k:])) for k in range(1, len(w))]
+        return "\n".join(min(cuts, key=lambda c: abs(len(c[0]) - len(c[1])))) if cuts else t
+
+    texts = ["", " ", "  ", "a ", " a", "日本 é x"] + ["".join(rng.choice("ab é") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.balance_words(F.col("t")).alias("b")).collect()
+    assert all(r.b == brute(r.t) for r in got)
+    long, began = "word " * 50_000 + "end", time.perf_counter()
+    top, bottom = spark.createDataFrame([(long,)], "t string").select(S.balance_words(F.col("t"))).first()[0].split("\n")
+    assert f"{top} {bottom}" == long and abs(len(top) - len(bottom)) <= 5 and time.perf_counter() - began < 10
