@@ -4,7 +4,8 @@ The distinct words of many documents are laid out as one array of byte tokens wi
 An inverted index holds, for each rank, the positions whose token pair has that rank. Merges are applied in
 rank order, each to all its positions in all words at once; only pairs at the touched neighbours are looked up anew.
 Every merge is thus applied once for a whole stretch of corpus instead of once a word. The words' ids are
-then gathered back into documents. A task replays the words that are new in its partition: the vocabulary
+then gathered back into documents. A task replays, for each 4 MB of its partition's text, the words that are new
+there, and forgets the known ones beyond 2^20: the vocabulary
 of a corpus grows with it, so no table of all words is broadcast or joined to every word of the text.
 """
 
