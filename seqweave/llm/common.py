@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,31 +18,70 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where the session names none, a local master, as in tests, gets a temporary one; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="seqweave-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
+#: Paths of the tables that ``stored`` wrote and nothing has removed, in the order of writing.
+_TABLES: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _TABLES:
+        _TABLES.remove(path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a table made by ``stored`` that nothing reads any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        _remove(df.sparkSession, path)
+
+
+def written() -> list[str]:
+    """Paths of the tables in the shared folder; see ``discard_since``."""
+    return list(_TABLES)
+
+
+def discard_since(spark: SparkSession, before: Sequence[str], keep: Sequence[DataFrame] = ()) -> None:
+    """Remove the tables written since ``before`` = written(), but for ``keep``.
+
+    An operator's result is lazy and reads its intermediate tables, so only who has stored the result can remove them.
+    """
+    spared = {*before, *(getattr(df, "_stored_at", None) for df in keep)}
+    for path in written():
+        if path not in spared:
+            _remove(spark, path)
+
+
+def free_name(columns: Iterable[str], base: str) -> str:
+    """``base``, with marks behind it until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def word_count(text: Column) -> Column:
