@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, byte_strings, chunks, ragged, row_key, stored
+from .common import Hashes, byte_strings, chunks, discard, ragged, row_key, stored
 
 K = 12
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -58,7 +58,7 @@ def picks(words: np.ndarray, sizes: np.ndarray, least: int, k: int = K) -> tuple
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    bits = np.uint64(max(24, len(grams).bit_length()))
+    bits = np.uint64(32)  # of a hash the upper half ranks it, the lower half makes room for the position, in any text alike
     low = (np.uint64(1) << bits) - np.uint64(1)
     ranked = (grams >> bits << bits) | (low - np.arange(len(grams), dtype=np.uint64))
     # least value of each window, from running minima of blocks forwards and backwards
@@ -81,8 +81,11 @@ def documents_with_key(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(row_key(doc_id, text).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
-    """(key, at array<int>): for each document the picks whose k-gram is picked in two places or more."""
+def repeated_anchors(docs: DataFrame, least: int, hot: int) -> DataFrame:
+    """(key, at array<int>, hot array<int>): for each document the picks whose k-gram is picked in two places or more.
+
+    ``hot`` lists those of them whose k-gram is picked in more than ``hot`` places.
+    """
 
     def pick(batches):
         seen = Hashes(xxhash.xxh32_intdigest)
@@ -95,21 +98,34 @@ def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
 
     found = stored(docs.select("key", "text").mapInArrow(pick, "key long, at int, gram long"), "picks")
     place = F.struct("key", "at")
-    twice = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("gram")
-    return found.join(twice, "gram", "left_semi").groupBy("key").agg(F.collect_set("at").alias("at"))
+    twice = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("gram", "n")
+    marked = found.join(twice, "gram").groupBy("key").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("n") > hot, F.col("at"))).alias("hot"))
+    out = stored(marked, "anchors")
+    discard(found)
+    return out
+
+
+#: Places of a picked k-gram beyond which its passages are compared window by window, see ``hot_spans``.
+HOT = 1 << 16
 
 
-def contexts(df: DataFrame, least: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each passage around a repeated pick: gram, doc_id, key, starts, lead, last, words.
+def contexts(df: DataFrame, least: int, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame | None, int]:
+    """Passages around repeated picks, windows of hot picks (None without any), and how many picks repeat.
 
+    Passages: gram, doc_id, key, starts, lead, last, words.
     ``starts`` lists the passage's places in the document as progressions (first, step, count), end to end.
     ``words`` holds 32-bit word hashes (little-endian) from each of these words on; the pick
     stands at ``lead`` of them, and the passage's windows of ``least`` words begin at 0 .. ``last``. Every window whose
     pick repeats stands in exactly one row, and equal windows stand under the same gram with the same distance to it.
     A passage that a document repeats word by word, as looping text does thousands of times, is one row.
+
+    Windows: doc_id, key, start and ``window``, a 128-bit hash of its words, for every window whose pick is hot, so that no
+    task has to hold or read all passages of a pick that stands in a great part of the corpus.
     """
     docs = documents_with_key(df, doc_id, text)
-    marked = docs.join(repeated_anchors(docs, least), "key").dropDuplicates(["key"])
+    anchors = repeated_anchors(docs, least, hot)
+    n_picks, n_hot = anchors.agg(F.coalesce(F.sum(F.size("at")), F.lit(0)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
+    marked = docs.join(anchors, "key").dropDuplicates(["key"])
 
     def cut(batches):
         seen = Hashes(xxhash.xxh32_intdigest)
@@ -118,23 +134,50 @@ def contexts(df: DataFrame, least: int, doc_id: str = "doc_id", text: str = "tex
             at, first, final, grams = picks(words, sizes, least)
             base = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(sizes)), sizes)[at]
-            lists = part.column("at")
-            wanted = np.repeat(base, np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
-            keep = np.isin(at, wanted)
+
+            def places(lists: pa.ListArray) -> np.ndarray:
+                return np.repeat(base, np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
+
+            keep = np.isin(at, places(part.column("at")))
             at, first, final, grams, owner = at[keep], first[keep], final[keep], grams[keep], owner[keep]
+            if n_hot:
+                warm = ~np.isin(at, places(part.column("hot")))
+                n = (final - first + 1)[~warm]
+                own, begin = np.repeat(owner[~warm], n), ragged(first[~warm], n)
+                data = words.tobytes()
+                marks = [xxhash.xxh3_128_digest(data[4 * i : 4 * (i + least)]) for i in begin.tolist()]
+                if marks:
+                    none = pa.nulls(len(marks), pa.int64())
+                    yield batch_of(none, part, own, pa.nulls(len(marks), pa.list_(pa.int32())), begin - base[own], begin - base[own], marks)
+                at, first, final, grams, owner = at[warm], first[warm], final[warm], grams[warm], owner[warm]
             size = final - first + least
             data, edges = words[ragged(first, size)].tobytes(), np.append(0, np.cumsum(4 * size)).tolist()
             rows: dict[tuple, list[int]] = {}
             for i, (d, g, start, lead, last) in enumerate(zip(owner.tolist(), grams.view(np.int64).tolist(), (first - base[owner]).tolist(), (at - first).tolist(), (final - first).tolist())):
                 rows.setdefault((d, g, lead, last, data[edges[i] : edges[i + 1]]), []).append(start)
             own, gram, lead, last, blob = zip(*rows) if rows else ((),) * 5
-            own = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram, pa.int64()), part.column("doc_id").take(own), part.column("key").take(own), pa.array(map(progressions, rows.values()), pa.list_(pa.int32())), pa.array(lead, pa.int32()), pa.array(last, pa.int32()), pa.array(blob, pa.binary())],
-                names=["gram", "doc_id", "key", "starts", "lead", "last", "words"],
-            )
-
-    return marked.select("key", "doc_id", "text", "at").mapInArrow(cut, "gram long, doc_id long, key long, starts array<int>, lead int, last int, words binary")
+            yield batch_of(pa.array(gram, pa.int64()), part, own, pa.array(map(progressions, rows.values()), pa.list_(pa.int32())), lead, last, blob)
+
+    def batch_of(gram, part, own, starts, lead, last, blob):
+        own = pa.array(own, pa.int64())
+        columns = [gram, part.column("doc_id").take(own), part.column("key").take(own), starts, pa.array(lead, pa.int32()), pa.array(last, pa.int32()), pa.array(blob, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "key", "starts", "lead", "last", "words"])
+
+    found = marked.select("key", "doc_id", "text", "at", "hot").mapInArrow(cut, "gram long, doc_id long, key long, starts array<int>, lead int, last int, words binary")
+    if not n_hot:
+        return found, None, n_picks
+    found = stored(found, "passages")
+    windows = found.where("gram is null").select("doc_id", "key", F.col("lead").alias("start"), F.col("words").alias("window"))
+    return found.where("gram is not null"), windows, n_picks
+
+
+def hot_spans(windows: DataFrame, least: int) -> DataFrame:
+    """Rows as in SPANS for the windows that an earlier document holds: the earliest is an aggregate with a partial
+    one before it, and its table is small beside the windows, so a window in half of all documents makes no hot task."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("window", "first")
+    later = windows.join(first, "window").where(place > F.col("first"))
+    return later.select("doc_id", "key", "start", (F.col("start") + least).alias("stop"), F.col("first.doc_id").alias("ref_doc_id"))
 
 
 def progressions(places: list[int]) -> list[int]:

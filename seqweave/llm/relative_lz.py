@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import SPANS, contexts, merge_spans, spread
-from .common import row_key
+from .anchors import HOT, SPANS, contexts, hot_spans, merge_spans, spread
+from .common import chunks, free_name, row_key
 
 _WORD = re.compile(rb"[^ \t\n\x0b\f\r]+")
 
@@ -78,13 +78,15 @@ def parse(batches, least: int):
         yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "key", "start", "stop", "ref_doc_id"])
 
 
-def document_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
+def document_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, hot: int = HOT) -> DataFrame:
     """(doc_id, key, spans) of the documents that repeat ``least`` words or more of an earlier document."""
-    passages = contexts(df, least, doc_id, text).repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_last(), "key", "starts")
-    return merge_spans(passages.mapInArrow(lambda batches: parse(batches, least), SPANS))
+    passages, windows, _ = contexts(df, least, doc_id, text, hot)
+    passages = passages.repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_last(), "key", "starts")
+    spans = passages.mapInArrow(lambda batches: parse(batches, least), SPANS)
+    return merge_spans(spans if windows is None else spans.unionByName(hot_spans(windows, least)))
 
 
-def duplicate_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
+def duplicate_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, hot: int = HOT) -> DataFrame:
     """Word spans [start, stop) that stand in an earlier document too: doc_id, start, stop, ref_doc_id.
 
     A span is a maximal union of windows of ``least`` words, each of which an earlier document holds, documents
@@ -93,9 +95,10 @@ def duplicate_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     compared by 32-bit hashes, ``least`` of them at a time. Repeats inside one document don't count.
 
     Null and empty texts and those under ``least`` words give nothing. Rows equal in doc_id and text are one
-    document; the same doc_id with another text is another one. An empty table gives no rows. Other columns are not read.
+    document; the same doc_id with another text is another one. Very long texts are read whole. An empty table gives no rows.
+    Other columns are not read. Picks that stand in more than ``hot`` places are compared window by window, with the same result.
     """
-    return document_spans(df, doc_id, text, least).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.stop", "s.ref_doc_id")
+    return document_spans(df, doc_id, text, least, hot).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.stop", "s.ref_doc_id")
 
 
 def cut_spans(text: bytes, spans: list[dict]) -> bytes:
@@ -111,22 +114,27 @@ def cut_spans(text: bytes, spans: list[dict]) -> bytes:
 def remove_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", least: int = 50) -> DataFrame:
     """``df`` with duplicate spans cut out of its texts and n_chars set anew; a document of which no word is left goes.
 
-    Rows without duplicates pass unchanged, null and empty texts too.
+    Rows without duplicates pass unchanged, null and empty texts too. Of documents with the same passage the one first in
+    order of doc_id (nulls last), then of a hash of the row, keeps it. Repeated rows are one document and are cut alike. Very long
+    texts are cut whole. An empty table gives no rows. Other columns pass unchanged, whatever their names.
     """
-    spans = document_spans(df, doc_id, text, least).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    joined = df.withColumn("__key", row_key(doc_id, text)).join(spans, "__key", "left")
+    names = df.columns
+    key = free_name(names, "__key")
+    found = free_name(names, "__spans")
+    spans = document_spans(df, doc_id, text, least).select(F.col("key").alias(key), F.col("spans").alias(found))
+    joined = df.withColumn(key, row_key(doc_id, text)).join(spans, key, "left")
 
     def cut(batches):
-        for batch in batches:
-            i = batch.schema.get_field_index(text)
-            spans_of = batch.column("__spans").to_pylist()
-            texts = batch.column(i).cast(pa.binary()).to_pylist()
+        for part in chunks(batches, text):
+            i = part.schema.get_field_index(text)
+            spans_of = part.column(found).to_pylist()
+            texts = part.column(i).cast(pa.binary()).to_pylist()
             new = [cut_spans(t, s) if s else t for t, s in zip(texts, spans_of)]
-            cols = [pa.array(new, pa.binary()).cast(pa.string()) if k == i else c for k, c in enumerate(batch.columns)]
+            cols = [pa.array(new, pa.binary()).cast(pa.string()) if k == i else c for k, c in enumerate(part.columns)]
             keep = pa.array(np.array([not s or bool(t.strip()) for t, s in zip(new, spans_of)], bool))
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(keep)
+            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(keep)
 
     out = joined.mapInArrow(cut, joined.schema)
-    if n_chars in df.columns:
-        out = out.withColumn(n_chars, F.when(F.col("__spans").isNull(), F.col(n_chars)).otherwise(F.length(text)).cast(df.schema[n_chars].dataType))
-    return out.select(*df.columns)
+    if n_chars in names:
+        out = out.withColumn(n_chars, F.when(F.col(found).isNull(), F.col(n_chars)).otherwise(F.length(text)).cast(df.schema[n_chars].dataType))
+    return out.select(*names)

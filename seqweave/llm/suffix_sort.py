@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import K, SPANS, contexts, merge_spans, spread
+from .anchors import HOT, K, SPANS, contexts, hot_spans, merge_spans, spread
 
 #: gram, doc_id, has doc_id, key, number of starts, lead, last, shared words, bytes of the rest; the starts, the rest and the words before follow
 _HEAD = "<Qq?qIiiHI"
@@ -194,39 +194,51 @@ def _gather(batches, limit: int) -> Iterator[pa.Table]:
 def merge_runs(batches, least: int):
     """Merge all runs of each range; batches come sorted by range."""
 
+    def batch_of(rows):
+        cols = list(zip(*rows)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "key", "start", "stop", "ref_doc_id"])
+
     def merged(runs):
         members, rows = [], []
         for shared, m in LoserTree([decode_run(r) for r in runs]):
             if members and members[-1][1][0] != m[0]:
                 rows += cluster_spans(members, least)
                 members = []
+                if len(rows) > 1 << 14:
+                    yield batch_of(rows)
+                    rows = []
             members.append((shared, m))
         rows += cluster_spans(members, least)
-        cols = list(zip(*rows)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "key", "start", "stop", "ref_doc_id"])
+        yield batch_of(rows)
 
     now, runs = None, []
     for batch in batches:
         for r, run in zip(batch.column("range").to_pylist(), batch.column("run").to_pylist()):
             if r != now and runs:
-                yield merged(runs)
+                yield from merged(runs)
                 runs = []
             now = r
             runs.append(run)
     if runs:
-        yield merged(runs)
+        yield from merged(runs)
+
+
+#: Bytes of passages that a reduce task is to merge, and the most that one passage takes: 2 * least words and its places.
+RANGE_BYTES = 32 << 20
 
 
-def duplicate_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, ranges: int | None = None) -> DataFrame:
+def duplicate_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, ranges: int | None = None, hot: int = HOT) -> DataFrame:
     """Word spans [start, stop) that stand in an earlier document too: doc_id, start, stop, ref_doc_id.
 
-    The same spans as relative_lz.duplicate_spans defines, found by suffix order; nulls, empty, short and
-    repeated rows, empty tables and other columns count as there. ``ranges`` is the number of reduce tasks, by
-    default four times the session's shuffle partitions, so that it grows as the cluster is set up for more data.
+    The same spans as relative_lz.duplicate_spans defines, found by suffix order; nulls, empty, short, very long and
+    repeated rows, ties, empty tables and other columns count as there. ``ranges`` is the number of reduce tasks, by
+    default as many as give each RANGE_BYTES of passages, by the number of repeated picks.
     """
     if K > least:
         raise ValueError("least must be at least the words of a pick")
-    ranges = ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = sorted_runs(contexts(df, least, doc_id, text), ranges)
+    passages, windows, n_picks = contexts(df, least, doc_id, text, hot)
+    ranges = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_picks * (8 * least + 64) // RANGE_BYTES))
+    runs = sorted_runs(passages, ranges)
     spans = runs.repartitionById(ranges, F.col("range")).mapInArrow(lambda batches: merge_runs(batches, least), SPANS)
+    spans = spans if windows is None else spans.unionByName(hot_spans(windows, least))
     return merge_spans(spans).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.stop", "s.ref_doc_id")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqweave.llm import anchors, relative_lz, suffix_sort
 
@@ -45,6 +46,8 @@ def test_random_collages(spark, operator):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for least in (12, 20, 50):
         assert found(operator.duplicate_spans(df, least=least)) == brute(rows, least), least
+    for hot in (0, 5, 40):  # picks in more places than that are compared window by window
+        assert found(operator.duplicate_spans(df, least=20, hot=hot)) == brute(rows, 20), hot
 
 
 @pytest.mark.parametrize("operator", [relative_lz, suffix_sort])
@@ -54,7 +57,7 @@ def test_odd_rows(odd, odd_rows, empty, clashing, operator):
     assert got.columns == ["doc_id", "start", "stop", "ref_doc_id"]
     assert {(r.doc_id, r.start, r.stop) for r in got.collect() if r.doc_id is not None} == want
     assert {(r.doc_id, r.start, r.stop, r.ref_doc_id) for r in got.where("doc_id is null").collect()} == {(None, 0, 120, 5)}
-    assert found(operator.duplicate_spans(clashing)) == found(got)
+    assert found(operator.duplicate_spans(clashing)) == found(got) == found(operator.duplicate_spans(odd, hot=0))
     assert operator.duplicate_spans(empty).count() == 0
 
 
@@ -68,6 +71,9 @@ def test_removal_keeps_the_rest(spark, odd, odd_rows, empty, clashing):
     assert by[30].text is None and by[31].text == "" and by[35].text == text[35]
     assert out.where("doc_id = 0").count() == 3
     assert relative_lz.remove_duplicates(empty).count() == 0 and relative_lz.remove_duplicates(clashing).columns == clashing.columns
+    named = relative_lz.remove_duplicates(clashing.withColumn("__spans", F.lit("y")))
+    assert named.where("__key = 'x' and __spans = 'y' and key = 'x' and spans = 'x'").count() == named.count()
+    assert found(named.select(*odd.columns)) == found(out)
     assert relative_lz.cut_spans(b" a  b c\nd ", [{"start": 1, "stop": 3}]) == b" a  d "
 
 
