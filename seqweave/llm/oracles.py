@@ -8,18 +8,33 @@ m AS (SELECT doc_id, host, length(t) AS chars, regexp_extract_all(t, '{_W}') AS
   len(regexp_extract_all(t, '[#$%&*{{}}<>|~^!]')) AS symbols, len(regexp_extract_all(t, '[A-Z]')) AS capitals, len(regexp_extract_all(t, '[0-9]')) AS digits FROM t),
 f AS (SELECT doc_id, host,
   (len(w) < 5)::INT AS r1, (chars > 15 * len(w) AND len(w) > 0)::INT AS r2, (symbols > 0.10 * chars)::INT AS r3, (capitals > 0.50 * chars)::INT AS r4,
-  (digits > 0.30 * chars)::INT AS r5, (len(l) >= 4 AND 10 * len(list_distinct(l)) < 7 * len(l))::INT AS r6, (len(w) >= 50 AND 5 * len(list_distinct(w)) < len(w))::INT AS r7 FROM m),
-u AS (SELECT doc_id, host, r, v FROM (UNPIVOT f ON r1, r2, r3, r4, r5, r6, r7 INTO NAME r VALUE v)),
+  (digits > 0.30 * chars)::INT AS r5, (len(l) >= 4 AND 10 * len(list_distinct(l)) < 7 * len(l))::INT AS r6, (len(w) >= 50 AND 5 * len(list_distinct(w)) < len(w))::INT AS r7,
+  (len(w) >= 10 AND 5 * len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]'))) > len(w))::INT AS r8 FROM m),
+u AS (SELECT doc_id, host, r, v FROM (UNPIVOT f ON r1, r2, r3, r4, r5, r6, r7, r8 INTO NAME r VALUE v)),
 h AS (SELECT host, r, count(*) AS n, sum(v)::DOUBLE AS k FROM u GROUP BY host, r),
 s AS (SELECT r, avg(k / n) AS m, var_pop(k / n) AS v FROM h GROUP BY r),
 p AS (SELECT r, m, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / greatest(v, 1e-12) - 1, 1.0), 10000.0) ELSE 10000.0 END AS w FROM s),
-g AS (SELECT host, round(max((k + m * w) / (n + w)), 6) AS host_rate FROM h JOIN p USING (r) GROUP BY host),
-x AS (SELECT host, host_rate, CASE WHEN host_rate > 0.5 THEN 'blocked' WHEN host_rate > 0.25 THEN 'strict' ELSE 'open' END AS host_verdict FROM g)
-SELECT doc_id, host, r1 + r2 + r3 + r4 + r5 + r6 + r7 AS n_failed, host_rate, host_verdict,
-  r1 + r2 + r3 + r4 + r5 + r6 + r7 < CASE host_verdict WHEN 'blocked' THEN 0 WHEN 'strict' THEN 1 ELSE 2 END AS keep
+q AS (SELECT host, m, n + w AS t, (k + m * w) / (n + w) AS rate FROM h JOIN p USING (r)),
+g AS (SELECT host, round(max(rate), 6) AS host_rate, max(rate - 3 * sqrt(rate * (1 - rate) / (t + 1))) AS bottom, bool_or(rate - 3 * sqrt(rate * (1 - rate) / (t + 1)) > m) AS worse FROM q GROUP BY host),
+x AS (SELECT host, host_rate, CASE WHEN bottom > 0.5 THEN 'blocked' WHEN worse THEN 'strict' ELSE 'open' END AS host_verdict FROM g)
+SELECT doc_id, host, r1 + r2 + r3 + r4 + r5 + r6 + r7 + r8 AS n_failed, host_rate, host_verdict,
+  CASE host_verdict WHEN 'blocked' THEN false WHEN 'strict' THEN r1 + r2 + r3 + r4 + r5 + r6 + r7 + r8 = 0 ELSE r3 + r4 + r6 + r7 + r8 = 0 AND r1 + r2 + r3 + r4 + r5 + r6 + r7 + r8 < 2 END AS keep
 FROM f JOIN x USING (host)
 """
 
+#: Fingerprints by MD5 of the distinct words, all pairs of them, and the closure of near ones.
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_W}')) AS w FROM documents),
+u AS (SELECT w, md5(w) AS h FROM (SELECT DISTINCT w FROM w)),
+b AS (SELECT w, i::INT AS i, (instr('0123456789abcdef', h[i // 4 + 1]) - 1) >> (3 - i % 4)::INT & 1 AS bit FROM u, range(128) AS r(i)),
+s AS (SELECT doc_id, i, 2 * sum(bit) > count(*) AS v FROM w JOIN b USING (w) GROUP BY doc_id, i),
+f AS MATERIALIZED (SELECT doc_id, string_agg(CASE WHEN v THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS f FROM s GROUP BY doc_id),
+e AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM f x JOIN f y ON x.doc_id <> y.doc_id AND bit_count(xor(x.f, y.f)) <= 22),
+c AS (SELECT doc_id AS a, doc_id AS root FROM f UNION SELECT e.b, c.root FROM c JOIN e USING (a)),
+g AS (SELECT a AS doc_id, min(root) AS group_id FROM c GROUP BY a)
+SELECT d.doc_id, group_id, coalesce(group_id = d.doc_id, true) AS kept FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
 #: Layer k of the dynamic program has the least padding of the first j distinct lengths in k buckets and, for
 #: the way back, the edges chosen so far; equal costs take the smaller edge before.
 LENGTH_BUCKETS = rf"""

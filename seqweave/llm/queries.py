@@ -57,4 +57,4 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pseudonyms, op2_relative_lz, op3_bpe_replay, op4_host_rules, op5_histogram_sort, op6_suffix_sort, op7_simhash, op8_language_crf, op9_length_buckets, op10_ogg)
 }
-ORACLES: dict[str, str] = {"op2_relative_lz": oracles.DUPLICATE_SPANS, "op4_host_rules": oracles.HOST_RULES, "op6_suffix_sort": oracles.DUPLICATE_SPANS, "op9_length_buckets": oracles.LENGTH_BUCKETS}
+ORACLES: dict[str, str] = {"op2_relative_lz": oracles.DUPLICATE_SPANS, "op4_host_rules": oracles.HOST_RULES, "op6_suffix_sort": oracles.DUPLICATE_SPANS, "op7_simhash": oracles.NEAR_DUPLICATES, "op9_length_buckets": oracles.LENGTH_BUCKETS}

@@ -1,7 +1,7 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint of 128 bits holds the signs of summed word hashes, each distinct word of a document counting
-once. It is cut into m segments. Two fingerprints within ``radius`` bits differ, by the pigeonhole principle,
+A fingerprint of 128 bits holds the signs of summed word hashes (MD5, so that SQL can tell the same), each distinct
+word of a document counting once. It is cut into m segments. Two fingerprints within ``radius`` bits differ, by the pigeonhole principle,
 in at most a = radius // m bits in one of the first radius % m + 1 segments, or in at most a - 1 bits in one
 of the others. So for each segment the Hamming ball of that size around its value is enumerated, the table of
 that segment is read at each value in the ball, and the complete distance of every match is checked: exact.
@@ -9,16 +9,16 @@ that segment is read at each value in the ball, and the complete distance of eve
 
 from __future__ import annotations
 
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Index, byte_strings, chunks, stored
+from .common import WORD, Index, byte_strings, chunks, free_name, stored
 from .components import components, forest
 
 BITS = 128
@@ -32,7 +32,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     sets = [list(set(map(ids.__getitem__, t.split()))) for t in texts]
     if not ids:
         return np.zeros((len(texts), 2), np.uint64)
-    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, ids)), np.uint8).reshape(-1, 16)
+    digests = np.frombuffer(b"".join([md5(w, usedforsecurity=False).digest() for w in ids]), np.uint8).reshape(-1, 16)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.fromiter((i for s in sets for i in s), np.int64, int(sizes.sum()))
     # runs of at most 255 words of one document are summed eight bits to a 64-bit word, then the runs in 32 bits
@@ -50,16 +50,17 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def fingerprint_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, hi, lo for each row, hi and lo null where the text has no words."""
+    """doc_id, mark (a hash of the text), hi, lo for each row, hi and lo null where the text has no words."""
 
     def make(batches):
         for part in chunks(batches, "t"):
             texts = byte_strings(part.column("t"))
             prints = fingerprints(texts).view(np.int64)
             none = np.array([not t or t.isspace() for t in texts])
-            yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(prints[:, 0], mask=none), pa.array(prints[:, 1], mask=none)], names=["doc_id", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("m"), pa.array(prints[:, 0], mask=none), pa.array(prints[:, 1], mask=none)], names=["doc_id", "mark", "hi", "lo"])
 
-    return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(make, "doc_id long, hi long, lo long")
+    rows = df.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("m"), F.col(text).alias("t"))
+    return rows.mapInArrow(make, "doc_id long, mark long, hi long, lo long")
 
 
 def segment_plan(n: int, radius: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -192,22 +193,53 @@ def near_edges(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20) ->
     return routed.repartitionById(len(jobs), F.col("job")).mapInArrow(find, "u long, v long")
 
 
+def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 22) -> DataFrame:
+    """doc_id, mark, group_id, kept for each row of ``df``; see near_duplicates. ``mark`` is a hash of the text.
+
+    The points of the search are the distinct fingerprints, numbered as they were written, so documents are told
+    apart by doc_id and text together wherever they meet.
+    """
+    prints = stored(fingerprint_table(df, doc_id, text), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    points = prints.where("hi is not null").groupBy("hi", "lo").agg(F.min(order).alias("least"))
+    points = stored(points.withColumn("id", F.monotonically_increasing_id()), "points")
+    linked = components(near_edges(points.select("id", "hi", "lo"), radius))
+    rooted = points.join(linked, points["id"] == linked["node"], "left").select("hi", "lo", "least", F.coalesce("root", "id").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    grouped = rooted.join(best, "root").select("hi", "lo", "best")
+    out = prints.join(grouped, ["hi", "lo"], "left")
+    # of rows that are equal in doc_id and text the first one stands for all
+    first = F.row_number().over(W.partitionBy("doc_id", "mark", "hi", "lo").orderBy(F.lit(0))) == 1
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark")) & F.col("first")
+    kept = F.when(F.col("best").isNull(), F.lit(True)).otherwise(chosen)
+    return out.withColumn("first", first).select("doc_id", "mark", F.col("best.doc_id").alias("group_id"), kept.alias("kept"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 22) -> DataFrame:
     """Group documents whose fingerprints are linked by distances of at most ``radius`` of 128 bits.
 
-    Returns a row for each input row: doc_id, fingerprint (hex), group_id, kept. group_id is the least doc_id
-    of the group; ``kept`` is true for that document alone, and for one of its rows where they are repeated.
+    Returns a row for each input row: doc_id, group_id, kept. group_id is the least doc_id of the group, and
+    ``kept`` is true for one row of the group: the one with the least doc_id (nulls last), of these the one with the least
+    hash of its text, of rows equal in both any one. The same doc_id with another text is another document.
     Documents with the same fingerprint are one point of the search, so exact copies cost nothing there.
-    Texts without words (null, empty, blank) have a null fingerprint, no group and are kept; so are rows without
-    doc_id, which can't be referred to. An empty table gives no rows; other columns are not read.
+    Texts without words (null, empty, blank) have no group and are kept. Very long texts are read whole. A group of which no
+    document has a doc_id has a null group_id and one kept row. An empty table gives no rows; other columns are not read.
     """
-    prints = stored(fingerprint_table(df, doc_id, text), "fingerprints")
-    usable = prints.where("hi is not null and doc_id is not null")
-    points = stored(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "points")
-    linked = components(near_edges(points.select("id", "hi", "lo"), radius))
-    grouped = points.join(linked, points["id"] == linked["node"], "left").select("hi", "lo", F.coalesce("root", "id").alias("group_id"))
-    out = prints.join(grouped, ["hi", "lo"], "left").withColumn("group_id", F.when(F.col("doc_id").isNotNull(), F.col("group_id")))
-    nth = F.row_number().over(W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("hi"))).orderBy(F.col("group_id").asc_nulls_last(), "hi", "lo"))
-    kept = F.when(F.col("group_id").isNull(), F.lit(True)).otherwise((F.col("group_id") == F.col("doc_id")) & (F.col("__nth") == 1))
-    shown = F.when(F.col("hi").isNotNull(), F.lower(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))))
-    return out.withColumn("__nth", nth).select("doc_id", shown.alias("fingerprint"), "group_id", kept.alias("kept"))
+    return near_groups(df, doc_id, text, radius).select("doc_id", "group_id", "kept")
+
+
+def remove_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 22) -> DataFrame:
+    """The rows of ``df`` that near_duplicates keeps, in all their columns; of equal rows one.
+
+    Rows equal in doc_id and text but not in other columns are one document, and any one of them stays; texts without words
+    stay as often as they stand. Columns may have any names.
+    """
+    names = df.columns
+    mark, nth, other_id = free_name(names, "__mark"), free_name(names, "__nth"), free_name(names, "__doc")
+    wordless = ~F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    stay = near_groups(df, doc_id, text, radius).where("kept and group_id is not null or kept and doc_id is null").select(F.col("doc_id").alias(other_id), F.col("mark").alias(mark)).distinct()
+    marked = df.where(~wordless).withColumn(mark, F.xxhash64(F.col(text)))
+    same = marked[doc_id].cast("long").eqNullSafe(stay[other_id]) & (marked[mark] == stay[mark])
+    named = marked.join(stay, same, "left_semi")
+    alone = named.withColumn(nth, F.row_number().over(W.partitionBy(F.col(doc_id), F.col(mark)).orderBy(F.lit(0)))).where(F.col(nth) == 1)
+    return alone.select(*names).unionByName(df.where(wordless))
