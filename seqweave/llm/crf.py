@@ -1,9 +1,9 @@
 """Language identification of words in code-switched text by a linear-chain conditional random field.
 
-Features of a word: its affixes of one to three bytes, its character n-grams of two and three bytes, and the word
-itself as a lexicon entry, all case-folded (ASCII) and hashed into one table with a weight for each language. Learned transitions
-join neighbouring words; forward-backward gives each word's probabilities. Words are those between ASCII
-white space.
+Features of a word: its affixes of one to three characters, its character n-grams of two and three, the word itself, all
+in lower case and hashed into one table with a weight for each language, and the languages whose lexicon holds it, with
+weights of their own. Learned transitions join neighbouring words; forward-backward gives each word's
+probabilities. Words are those between ASCII white space.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ class Model:
     weights: np.ndarray  # (2 ** TABLE_BITS, languages)
     start: np.ndarray  # probabilities of the first word's language, before its features
     transition: np.ndarray  # exp of the learned transition weights
+    entries: np.ndarray  # hashes of the lexicons' words, rising
+    member: np.ndarray  # (entries, languages): whose lexicon holds the word
+    lexicon: np.ndarray  # (languages, languages): weights of being in a language's lexicon
 
 
 def _mix(x: np.ndarray, kind: int) -> np.ndarray:
@@ -41,26 +44,36 @@ def _mix(x: np.ndarray, kind: int) -> np.ndarray:
     return x >> np.uint32(32 - TABLE_BITS)
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of each word, and where each word's begin; each has six affixes, the word and its n-grams."""
-    text = np.frombuffer(b" " + b" ".join(words).lower() + b"   ", np.uint8)
-    # letters and bytes beyond ASCII count; marks and digits at the ends and within stand as one neutral byte
-    c = np.where(((text >= 97) & (text <= 122)) | (text >= 128), text, 32).astype(np.uint32)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(sizes + 1) - sizes  # of the word's first byte
-    two = (c[:-1] << np.uint32(8)) | c[1:]
-    three = (two[:-1] << np.uint32(8)) | c[2:]
-    # n-grams run from the blank before the word to its last byte
+def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the words in lower case, two blanks before each and behind the last, and where each word begins and its length.
+
+    Letters of any script and marks beyond ASCII count; ASCII marks and digits stand as one neutral sign.
+    """
+    text = (b"  " + b"  ".join(words) + b"  ").decode("utf-8", "replace").lower()
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    blanks = np.flatnonzero(c == 32)
+    c = np.where(((c >= 97) & (c <= 122)) | (c >= 128), c, np.uint32(32))
+    return c, blanks[1:-1:2] + 1, blanks[2::2] - blanks[1:-1:2] - 1
+
+
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of all words, where each word's begin, and each word's hash; a word has six affixes, itself and its n-grams."""
+    if not words:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    c, starts, sizes = _letters(words)
+    two = (c[:-1] * np.uint32(0x10001)) ^ (c[1:] * np.uint32(0x9E37))
+    three = (two[:-1] * np.uint32(0x85EB)) ^ c[2:]
+    # n-grams run from the blank before the word to its last character
     at = ragged(starts - 1, sizes + 1)
     grams = np.empty((len(at), 2), np.uint32)
     grams[:, 0] = _mix(two[at], 1)
     grams[:, 1] = _mix(three[at], 2)
-    # rolling value of the whole word, by a prefix sum of position-weighted bytes
-    powers = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 0x01000193, np.uint64))
+    # value of the whole word: the sum of its characters weighted by place
+    powers = np.cumprod(np.full(int(sizes.max()) + 1, 0x100000001B3, np.uint64))
     inner = ragged(starts, sizes)
     place = inner - np.repeat(starts, sizes)
-    whole = np.add.reduceat(np.append(c[inner].astype(np.uint64) * powers[place], np.uint64(0)), np.cumsum(sizes) - sizes) if len(words) else np.zeros(0, np.uint64)
-    whole = (whole ^ (whole >> np.uint64(29))).astype(np.uint32)
+    whole = np.add.reduceat(c[inner].astype(np.uint64) * powers[place], np.cumsum(sizes) - sizes)
+    whole ^= whole >> np.uint64(29)
     last = starts + sizes
     affix = np.empty((len(words), 7), np.uint32)
     affix[:, 0] = _mix(c[starts], 3)
@@ -69,13 +82,13 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     affix[:, 3] = _mix(c[last - 1], 6)
     affix[:, 4] = _mix(two[last - 2], 7)
     affix[:, 5] = _mix(three[np.maximum(last - 3, 0)], 8)
-    affix[:, 6] = _mix(whole, 9)
+    affix[:, 6] = _mix(whole.astype(np.uint32), 9)
     per = 2 * (sizes + 1) + 7
     begin = np.cumsum(per) - per
     out = np.empty(int(per.sum()), np.uint32)
     out[ragged(begin, np.full(len(words), 7))] = affix.ravel()
     out[ragged(begin + 7, per - 7)] = grams.ravel()
-    return out, begin
+    return out, begin, whole
 
 
 def has_letter(words: list[bytes]) -> np.ndarray:
@@ -85,20 +98,36 @@ def has_letter(words: list[bytes]) -> np.ndarray:
     return np.logical_or.reduceat(((text >= 97) & (text <= 122)) | (text >= 128), np.cumsum(sizes) - sizes)
 
 
-def emissions(model_weights: np.ndarray, words: list[bytes], block: int = 1 << 15) -> np.ndarray:
-    """Summed weights of each word's features, over the root of their number so that long words don't shout."""
-    out = np.zeros((len(words), model_weights.shape[1]), np.float32)
+def members(model: Model, marks: np.ndarray) -> np.ndarray:
+    """(words, languages): whose lexicon holds each word, by the words' hashes."""
+    if not len(model.entries):
+        return np.zeros((len(marks), len(model.languages)), np.float32)
+    at = np.minimum(np.searchsorted(model.entries, marks), len(model.entries) - 1)
+    return np.where((model.entries[at] == marks)[:, None], model.member[at], np.float32(0))
+
+
+def emissions(model: Model, words: list[bytes], block: int = 1 << 15) -> np.ndarray:
+    """exp of each word's scores less its highest one, which leaves all probabilities as they are and can't overflow.
+
+    A score is the sum of the weights of hashed features, over the root of their number so that long words don't
+    shout, and of the lexicons'.
+    """
+    out = np.zeros((len(words), len(model.languages)), np.float32)
     for i in range(0, len(words), block):
-        feats, begin = word_features(words[i : i + block])
+        feats, begin, marks = word_features(words[i : i + block])
         n = np.diff(np.append(begin, len(feats)))
+        out[i : i + block] = members(model, marks) @ model.lexicon
         for k in range(out.shape[1]):
-            out[i : i + block, k] = np.add.reduceat(model_weights[:, k][feats], begin) / np.sqrt(n)
-    return out
+            out[i : i + block, k] += np.add.reduceat(model.weights[:, k][feats], begin) / np.sqrt(n)
+    return np.exp(out - out.max(axis=1, keepdims=True)) if out.size else out
 
 
-def forward_backward(e: np.ndarray, lengths: np.ndarray, start: np.ndarray, a: np.ndarray) -> np.ndarray:
+def forward_backward(e: np.ndarray, lengths: np.ndarray, start: np.ndarray, a: np.ndarray, messages: bool = False):
     """Word marginals (words, L) of many sequences laid end to end; ``e`` holds exp of the emission scores.
 
+    With ``messages`` also the messages from the left, a word's own emission included, and from the right, each
+    up to a factor a word.
+
     Sequences are cut into rows of ROW words that advance together. The rows of a longer one are first summed
     to L x L transfer matrices, from which the messages at the cuts follow; so a step never waits for a long
     document, and no text is cut short.
@@ -149,14 +178,45 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, start: np.ndarray, a: n
         out[rs[:k] + t] = now
         msg[:k] = now
     back = right[order]
+    ahead, behind = (out.copy(), np.empty_like(e)) if messages else (None, None)
     for t in range(steps - 1, -1, -1):
         k = alive[t]
         at = rs[:k] + t
         b = back[:k]
+        if messages:
+            behind[at] = b
         out[at] = norm(out[at] * b)
         b = norm((e[at] * b) @ a.T)
         back[:k] = b
-    return out
+    return (out, ahead, behind) if messages else out
+
+
+def expected(e: np.ndarray, lengths: np.ndarray, start: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word marginals and the expected number of each pair of neighbouring languages (L, L).
+
+    A pair's probability is alpha_t(i) a(i, j) e_{t+1}(j) beta_{t+1}(j), normalised for each t.
+    """
+    marg, ahead, behind = forward_backward(e, lengths, start, a, True)
+    inside = np.ones(len(e), bool)
+    inside[np.cumsum(lengths[lengths > 0]) - 1] = False
+    x = np.flatnonzero(inside)
+    right = e[x + 1] * behind[x + 1]
+    # a reduced to one product of matrices: the sum over t of ahead_t / z_t (outer) right_t, times a
+    z = np.einsum("ti,ij,tj->t", ahead[x], a, right)
+    return marg, ((ahead[x] / np.maximum(z, 1e-30)[:, None]).T @ right) * a
+
+
+def lexicons(pieces: list[tuple[int, int, list[int]]], n_words: int, languages: int) -> np.ndarray:
+    """(words, languages): a word is in a language's lexicon if two documents of it or more hold the word, so that
+    no document alone decides on its own words, and if no other language's documents hold it thrice as often.
+
+    ``pieces`` holds (language, document, word numbers).
+    """
+    seen = {(y, d, w) for y, d, ws in pieces for w in ws}
+    count = np.zeros((n_words, languages), np.int32)
+    for y, _, w in seen:
+        count[w, y] += 1
+    return ((count >= 2) & (3 * count >= count.max(axis=1, keepdims=True, initial=0))).astype(np.float32)
 
 
 def train(sample: list[tuple[str, str]], rounds: int = 30, seed: int = 7) -> Model:
@@ -170,36 +230,41 @@ def train(sample: list[tuple[str, str]], rounds: int = 30, seed: int = 7) -> Mod
     code = {lang: i for i, lang in enumerate(languages)}
     L = len(languages)
     if not L:
-        return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32))
+        none = np.zeros((0, 0), np.float32)
+        return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), none[0:0].ravel(), none, np.zeros(0, np.uint64), none, none)
     ids = Index()
     pieces = []
-    for lang, text in sample:
+    for d, (lang, text) in enumerate(sample):
         words = text.encode().split()
-        pieces += [(code[lang], [ids[w] for w in words[i : i + 24]]) for i in range(0, len(words), 24)]
-    rng.shuffle(pieces)
+        pieces += [(code[lang], d, [ids[w] for w in words[i : i + 24]]) for i in range(0, len(words), 24)]
     words = list(ids)
-    feats, begin = word_features(words) if words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    feats, begin, marks = word_features(words)
     per = np.diff(np.append(begin, len(feats)))
+    member = lexicons(pieces, len(words), L)
+    rng.shuffle(pieces)
     seqs = [pieces[i : i + 3] for i in range(0, len(pieces), 3)]
-    w = np.zeros((1 << TABLE_BITS, L), np.float32)
-    g2 = np.full_like(w, 1e-3)
-    trans, tg2 = np.zeros((L, L), np.float32), np.full((L, L), 1e-3, np.float32)
-    start = np.full(L, 1.0 / L, np.float32)
+    w, lex = np.zeros((1 << TABLE_BITS, L), np.float32), np.zeros((L, L), np.float32)
+    trans, first = np.zeros((L, L), np.float32), np.zeros(L, np.float32)
+    squares = [np.full_like(p, 1e-3) for p in (w, lex, trans, first)]
+
+    def climb(p: np.ndarray, k: int, grad: np.ndarray, rate: float) -> None:
+        squares[k] += grad * grad
+        p += rate * grad / np.sqrt(squares[k])
+
     batch = 512
     for _ in range(max(1, -(-rounds * batch // max(1, len(seqs))))) if seqs else ():
         for i in range(0, len(seqs), batch):
-            part = [s for s in seqs[i : i + batch]]
-            flat = np.array([x for s in part for _, p in s for x in p], np.int64)
-            gold = np.array([y for s in part for y, p in s for _ in p], np.int64)
-            lengths = np.array([sum(len(p) for _, p in s) for s in part], np.int64)
+            part = seqs[i : i + batch]
+            flat = np.array([x for s in part for _, _, p in s for x in p], np.int64)
+            gold = np.array([y for s in part for y, _, p in s for _ in p], np.int64)
+            lengths = np.array([sum(len(p) for _, _, p in s) for s in part], np.int64)
             uniq, inv = np.unique(flat, return_inverse=True)
             at = ragged(begin[uniq], per[uniq])
             f, bounds = feats[at], np.cumsum(per[uniq]) - per[uniq]
             scale = 1 / np.sqrt(per[uniq])
-            score = np.add.reduceat(w[f], bounds, axis=0) * scale[:, None]
-            e = np.exp(np.clip(score, -12, 12))[inv].astype(np.float32)
-            a = np.exp(trans)
-            marg = forward_backward(e, lengths, start, a)
+            score = np.add.reduceat(w[f], bounds, axis=0) * scale[:, None] + member[uniq] @ lex
+            e = np.exp(score - score.max(axis=1, keepdims=True))[inv].astype(np.float32)
+            marg, hope = expected(e, lengths, _probabilities(first), np.exp(trans))
             delta = -marg
             delta[np.arange(len(gold)), gold] += 1
             by_word = np.zeros((len(uniq), L), np.float32)
@@ -208,36 +273,42 @@ def train(sample: list[tuple[str, str]], rounds: int = 30, seed: int = 7) -> Mod
             spread = np.repeat(by_word * scale[:, None], per[uniq], axis=0)
             for k in range(L):
                 grad[:, k] = np.bincount(f, weights=spread[:, k], minlength=len(w))
-            grad = grad / len(part) - 1e-5 * w
-            g2 += grad * grad
-            w += 0.5 * grad / np.sqrt(g2)
-            # transitions: neighbouring pairs seen, less those expected under the marginals of both words
-            ends = np.cumsum(lengths) - 1
+            climb(w, 0, grad / len(part) - 1e-5 * w, 0.5)
+            climb(lex, 1, member[uniq].T @ by_word / len(part) - 1e-4 * lex, 0.2)
+            begins, ends = np.cumsum(lengths) - lengths, np.cumsum(lengths) - 1
             inside = np.ones(len(gold), bool)
             inside[ends] = False
             x = np.flatnonzero(inside)
-            seen, hope = np.zeros((L, L), np.float32), np.zeros((L, L), np.float32)
+            seen = np.zeros((L, L), np.float32)
             np.add.at(seen, (gold[x], gold[x + 1]), 1)
-            joint = marg[x][:, :, None] * a[None] * marg[x + 1][:, None, :]
-            hope = (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-30)).sum(axis=0)
-            tg = (seen - hope) / len(part) - 1e-4 * trans
-            tg2 += tg * tg
-            trans += 0.2 * tg / np.sqrt(tg2)
-    return Model(languages, w, start, np.exp(np.clip(trans, -8, 8)).astype(np.float32))
+            climb(trans, 2, (seen - hope) / len(part) - 1e-4 * trans, 0.2)
+            climb(first, 3, delta[begins].sum(axis=0) / len(part) - 1e-4 * first, 0.2)
+    known = member.any(axis=1)
+    entries, at = np.unique(marks[known], return_index=True)
+    return Model(languages, w, _probabilities(first), np.exp(trans).astype(np.float32), entries, member[known][at], lex)
+
+
+def _probabilities(scores: np.ndarray) -> np.ndarray:
+    p = np.exp(scores - scores.max(initial=-np.inf))
+    return (p / p.sum()).astype(np.float32)
 
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 400) -> Model:
-    """Train on at most ``sample_rows`` labelled documents of each language, those with the least hash of doc_id and text."""
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id)).alias("h"))
-    narrow = known.select("l", "h").withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("n") <= sample_rows)
-    edge = narrow.groupBy("l").agg(F.max("h").alias("edge")).collect()
+    """Train on at most ``sample_rows`` labelled documents of each language, those with the least hash of doc_id and text.
+
+    Rows equal in doc_id and text count once. Rows without lang or text are left out; sampled texts are read whole. A table
+    without labels, an empty one too, gives a model of no languages. Other columns are not read.
+    """
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
+    nth = F.dense_rank().over(W.partitionBy("l").orderBy("h"))
+    edge = known.select("l", "h").withColumn("n", nth).where(F.col("n") <= sample_rows).groupBy("l").agg(F.max("h").alias("edge")).collect()
     if not edge:
         return train([])
     pick = F.lit(False)
     for r in edge:
         pick = pick | ((F.col("l") == r["l"]) & (F.col("h") <= r["edge"]))
-    rows = known.where(pick).orderBy("l", "h").limit(sample_rows * len(edge)).collect()
-    return train([(r["l"], r["t"]) for r in rows])
+    rows = known.where(pick).dropDuplicates(["l", "h"]).collect()
+    return train([(r["l"], r["t"]) for r in sorted(rows, key=lambda r: (r["l"], r["h"]))])
 
 
 SCHEMA = "doc_id long, lang string, share double, certainty double, n_words int, spans array<struct<start:int,end:int,lang:string>>, rejected boolean"
@@ -271,7 +342,7 @@ class Reader:
         if L and len(flat):
             if len(ids) > known:
                 words = list(islice(ids, known, None))
-                self.scores = np.concatenate([self.scores, np.exp(np.clip(emissions(model.weights, words), -12, 12))])
+                self.scores = np.concatenate([self.scores, emissions(model, words)])
                 self.lettered = np.concatenate([self.lettered, has_letter(words)])
             some = np.flatnonzero(sizes)
             marg = forward_backward(self.scores[flat], sizes[some], model.start, model.transition)
@@ -307,8 +378,8 @@ def label(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     ``spans`` are runs of words [start, end) of one language; certainty is the mean, over words with a
     letter, of the highest probability. A document is rejected if it has no such word or if its certainty is under
     ``least_certainty``: it is then in none of the languages. Null, empty and blank texts have n_words 0, null lang and are rejected.
-    Equal counts go to the language first in order. Repeated rows are each labelled; an empty table, or one
-    without labels to train on, gives no spans. Other columns are not read.
+    Equal counts go to the language first in order. Very long texts are labelled whole, in one chain. Repeated rows are
+    each labelled; an empty table gives no rows, and a model without languages rejects every row. Other columns are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -321,7 +392,11 @@ def label(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
 
 
 def accepted(df: DataFrame, model: Model, text: str = "text", lang: str = "lang", least_certainty: float = 0.45) -> DataFrame:
-    """The rows of ``df`` that ``label`` doesn't reject, ``lang`` set to the language found; no exchange."""
+    """The rows of ``df`` that ``label`` doesn't reject, ``lang`` set to the language found; no exchange.
+
+    Null, empty and blank texts go; very long ones are read whole; repeated rows are each judged; ties go as in
+    ``label``; an empty table, or a model without languages, gives no rows. Other columns pass unchanged, whatever their names.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
