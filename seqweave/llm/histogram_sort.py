@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Sequence
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, stored
+from .common import discard, free_name, stored
 
 
 def ordered_bytes(df: DataFrame, keys: Sequence[str]) -> Column:
@@ -35,7 +36,7 @@ def find_splitters(narrow: DataFrame, shard_bytes: int, tolerance: float, picks:
 
     Each round counts, across all partitions, the exact bytes between neighbouring probes of the ranges that
     still hold a wanted position, and draws the next probes there, rows weighted by their bytes. The driver
-    receives ``picks`` rows a range, so in proportion to the shards, never to the rows.
+    receives at most 4 * ``picks`` rows a shard, never in proportion to the rows.
     """
     total = narrow.agg(F.sum("bytes")).first()[0] or 0
     n = -(-total // shard_bytes) or 1
@@ -97,33 +98,101 @@ def find_splitters(narrow: DataFrame, shard_bytes: int, tolerance: float, picks:
     return sorted(set(found.values()))
 
 
-def histogram_sort(df: DataFrame, keys: Sequence[str] = ("source", "doc_id"), text: str = "text", shard_bytes: int = 32 << 20, tolerance: float = 0.01, picks: int = 6, out: str = "shard") -> DataFrame:
+def _search(key: Column, cuts: Column, n: Column, most: int) -> Column:
+    """Number of ``cuts`` (rising, ``n`` of them, at most ``most``) that lie below ``key``, by halving."""
+
+    def halve(at: Column, _: Column) -> Column:
+        lo, hi = at["lo"], at["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        right = (lo < hi) & (F.element_at(cuts, F.least(mid, n - 1) + 1) < key)
+        return F.struct(F.when(right, mid + 1).otherwise(lo).alias("lo"), F.when(right | (lo >= hi), hi).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(most.bit_length()))
+    return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi")), halve, lambda at: at["lo"]))
+
+
+def refine_ranges(narrow: DataFrame, cuts: list[bytes], shard_bytes: int) -> DataFrame:
+    """(range, keys): the upper keys of the shards inside each range that ``cuts`` make, but for the last one.
+
+    Each range is one task, which reads its keys in order with a running sum of their bytes: it is divided evenly, at the
+    nearest places that whole keys allow. The driver receives a row a range.
+    """
+
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_left(cuts, k) for k in batch.column(0).to_pylist()], pa.int32()), *batch.columns], names=["range", "key", "bytes"])
+
+    ranged = narrow.mapInArrow(place, "range int, key binary, bytes long")
+    sizes = dict(ranged.groupBy("range").agg(F.sum("bytes")).collect())
+
+    def edges(rows, size: int):
+        """Upper keys for the rows (key, bytes) of one range."""
+        n = -(-size // shard_bytes)
+        goal, at, before, out = 1, 0, None, []
+        for key, more in rows:
+            below, at = at, at + more
+            while goal < n and (p := size * goal // n) <= at:
+                near = key if before is None or at - p <= p - below else before
+                if near not in out[-1:] and (near is not key or at < size):
+                    out.append(near)
+                goal += 1
+            before = key
+        return out
+
+    def split(batches):
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(i).to_pylist() for i in range(3)))
+
+        for r, mine in groupby(rows(), key=lambda x: x[0]):
+            whole = ((k, sum(size for _, _, size in same)) for k, same in groupby(mine, key=lambda x: x[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([edges(whole, sizes[r])], pa.list_(pa.binary()))], names=["range", "keys"])
+
+    return ranged.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "key").mapInArrow(split, "range int, keys array<binary>")
+
+
+#: Shards up to which the driver finds all splitters itself; beyond, it finds as many ranges, each refined in a task.
+DRIVER_SHARDS = 1024
+
+
+def histogram_sort(df: DataFrame, keys: Sequence[str] = ("source", "doc_id"), text: str = "text", shard_bytes: int = 32 << 20, tolerance: float = 0.01, picks: int = 6, out: str = "shard", driver_shards: int = DRIVER_SHARDS) -> DataFrame:
     """Sort ``df`` by ``keys`` into shards of about ``shard_bytes`` bytes of text, one partition each.
 
     Splitters are refined until every shard edge lies within ``tolerance`` of a shard from its exact place, or
-    until one key alone spans the place, as with a very long document. The rows move once.
+    until one key alone spans the place, as with a very long document. The rows move once. Beyond ``driver_shards``
+    shards the driver finds the edges of so many ranges, and a task for each range those that divide it evenly; these come
+    in a table that Spark joins in the way its size at run time allows.
 
     Null keys sort first; null and empty texts weigh 0 bytes and keep their place; rows with equal keys share a
-    shard; an empty table gives no rows; a column named like ``out`` is replaced; other columns pass unchanged.
+    shard; an empty table gives no rows; a column named like ``out`` is replaced; other columns pass unchanged, whatever their names.
     """
-    keyed = df.withColumn("__key", ordered_bytes(df, keys))
-    narrow = stored(keyed.select(F.col("__key").alias("key"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes")), "sort-keys")
-    cuts = find_splitters(narrow, shard_bytes, tolerance, picks)
-    discard(narrow)
+    names = [c for c in df.columns if c.lower() != out.lower()]
+    key, cuts_of, range_of = (free_name([*df.columns, out], c) for c in ("__key", "__cuts", "__range"))
+    keyed = df.withColumn(key, ordered_bytes(df, keys))
+    if out in df.columns and out not in keys:
+        keyed = keyed.drop(out)
+    narrow = stored(keyed.select(F.col(key).alias("key"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes")), "sort-keys")
+    total = narrow.agg(F.sum("bytes")).first()[0] or 0
+    coarse = total > driver_shards * shard_bytes
+    cuts = find_splitters(narrow, -(-total // driver_shards) if coarse else shard_bytes, tolerance, picks)
     spark = df.sparkSession
-    if cuts:
-        # one row of splitters, its size known here: about 30 bytes a shard; a binary search finds each row's shard
-        table = spark.createDataFrame([(cuts,)], "__cuts array<binary>")
-        steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-
-        def halve(at: Column, _: Column) -> Column:
-            lo, hi = at["lo"], at["hi"]
-            mid = F.shiftright(lo + hi, 1)
-            right = (lo < hi) & (F.element_at("__cuts", F.least(mid, F.lit(len(cuts) - 1)) + 1) < F.col("__key"))
-            return F.struct(F.when(right, mid + 1).otherwise(lo).alias("lo"), F.when(right | (lo >= hi), hi).otherwise(mid).alias("hi"))
-
-        shard = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda at: at["lo"])
-        placed = keyed.crossJoin(F.broadcast(table)).withColumn(out, shard).drop("__cuts")
+
+    def among(rows: DataFrame, name: str) -> DataFrame:
+        """The place of each row among ``cuts``, which come in one row of at most ``driver_shards`` keys."""
+        if not cuts:
+            return rows.withColumn(name, F.lit(0))
+        table = spark.createDataFrame([(cuts,)], f"`{cuts_of}` array<binary>")
+        return rows.crossJoin(F.broadcast(table)).withColumn(name, _search(F.col(key), F.col(cuts_of), F.lit(len(cuts)), len(cuts))).drop(cuts_of)
+
+    if coarse:
+        fine = stored(refine_ranges(narrow, cuts, shard_bytes), "splitters")
+        inside = dict(fine.select("range", F.size("keys")).collect())
+        first = [0, *accumulate(inside.get(r, 0) + 1 for r in range(len(cuts) + 1))]
+        table = fine.select(F.col("range").alias(range_of), F.col("keys").alias(cuts_of))
+        ranged = among(keyed, range_of).join(table, range_of)
+        placed = ranged.withColumn(out, F.element_at(F.lit(first), F.col(range_of) + 1) + _search(F.col(key), F.col(cuts_of), F.size(cuts_of), max(*inside.values(), 1)))
+        shards = first[-1]
     else:
-        placed = keyed.withColumn(out, F.lit(0))
-    return placed.repartitionById(len(cuts) + 1, F.col(out)).sortWithinPartitions("__key").drop("__key")
+        placed, shards = among(keyed, out), len(cuts) + 1
+    discard(narrow)
+    return placed.repartitionById(shards, F.col(out)).sortWithinPartitions(key).select(*names, out)
