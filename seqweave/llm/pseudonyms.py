@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from datetime import date, timedelta
 from math import isqrt
 
@@ -19,14 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import chunks
+
 ROUNDS = 10
-DEFAULT_KEY = b"replace this key in production"
+#: Setting of the session that holds the key.
+KEY = "spark.seqweave.pseudonyms.key"
 _FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal() - date(1900, 1, 1).toordinal() + 1
 _MONTHS = "January February March April May June July August September October November December".split()
 
 _KINDS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z]{2,24}(?!-*[A-Za-z0-9])"),
-    ("secret", r"(?<![A-Za-z0-9_])(?i:token|secret|password|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Fa-f]{16,128}+(?![0-9A-Za-z])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?!-*[A-Za-z0-9])"),
+    ("secret", r"(?<![A-Za-z0-9_])(?i:token|secret|password|api[_-]?key)\s*+[=:]\s*+[\"']?[0-9A-Fa-f]{16,}+(?![0-9A-Za-z])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"),
@@ -55,6 +59,9 @@ class Feistel:
 
     def _round(self, kind: str, i: int, n: int, half: int) -> int:
         size = (half.bit_length() + 7) // 8
+        if n.bit_length() > 700:  # halves that 512 bits don't cover
+            h = hashlib.shake_256(self.key + f"{kind}/{i}/{n.bit_length()}/".encode() + half.to_bytes(size, "big"))
+            return int.from_bytes(h.digest(n.bit_length() // 16 + 32), "big")
         h = hashlib.blake2b(half.to_bytes(size, "big"), key=self.key, digest_size=64, person=f"{kind[:8]}{i:02d}".encode(), salt=(n % (1 << 128)).to_bytes(16, "big"))
         return int.from_bytes(h.digest(), "big")
 
@@ -254,7 +261,7 @@ def _spans(kind: str, m: re.Match) -> list[tuple[int, int]]:
 def replacer(key: bytes, back: bool = False):
     """A function from a text to its pseudonymised form and the number of values replaced."""
     f, pattern, known = Feistel(key), re.compile(PRIVATE), {}
-    hint = re.compile("[0-9@]")
+    hint = re.compile("[0-9@=:]")  # every kind has one of these
     kinds = [k for k, _ in _KINDS]
 
     def found(m: re.Match) -> tuple[int, int, str] | None:
@@ -290,24 +297,37 @@ def replacer(key: bytes, back: bool = False):
     return run
 
 
-def pseudonymise(df: DataFrame, text: str = "text", n_chars: str = "n_chars", key: bytes = DEFAULT_KEY, count: str | None = None) -> DataFrame:
+def session_key(spark) -> bytes:
+    """The key that the session's setting KEY holds, else a random one that nobody keeps: results then can't be
+    reversed, nor linked with those of another call."""
+    named = spark.conf.get(KEY, None)
+    return named.encode() if named else secrets.token_bytes(32)
+
+
+def pseudonymise(df: DataFrame, text: str = "text", n_chars: str = "n_chars", key: bytes | None = None, count: str | None = None) -> DataFrame:
     """``df`` with the personal data in ``text`` replaced, n_chars set anew, and with ``count`` the number of values.
 
     Card numbers (Luhn), phone numbers, IPv4 addresses, US social security numbers, IBANs, days from 1900 to
     2099, mail addresses and hexadecimal secrets after their names are permuted within their formats; numbers that
-    fail their check stay. Null texts stay null with a count of 0; every row is kept in its columns, repeated ones too;
-    a column named like ``count`` is replaced. Rows are independent: no exchange.
+    fail their check stay. Without ``key`` that of the session is taken, see session_key.
+
+    Where values could overlap the leftmost wins, of those that begin together the kind first in order. A day written
+    as 14/3/2020 becomes one that can't be read the other way either, so it is linked with days written so, not with ISO ones.
+    Null texts stay null with a count of 0, empty ones empty; very long texts are read whole, and so are addresses and
+    secrets of any length; every row is kept in its columns, repeated ones too and with equal results; an empty table gives no
+    rows; a column named like ``count`` is replaced, others pass unchanged. Rows are independent: no exchange.
     """
     kept = df.drop(count) if count else df
+    key = session_key(df.sparkSession) if key is None else key
 
     def run(batches):
         change = replacer(key)
-        for batch in batches:
-            i = batch.schema.get_field_index(text)
-            texts = batch.column(i).to_pylist()
+        for part in chunks(batches, text):
+            i = part.schema.get_field_index(text)
+            texts = part.column(i).to_pylist()
             both = [change(t) if t else (t, 0) for t in texts]
-            cols = [pa.array([t for t, _ in both], pa.string()) if k == i else c for k, c in enumerate(batch.columns)]
-            names = list(batch.schema.names)
+            cols = [pa.array([t for t, _ in both], pa.string()) if k == i else c for k, c in enumerate(part.columns)]
+            names = list(part.schema.names)
             if count:
                 cols.append(pa.array(np.array([n for _, n in both], np.int32)))
                 names.append(count)
