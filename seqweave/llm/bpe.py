@@ -1,27 +1,28 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct words of many documents are laid out as one array of byte tokens with links to their neighbours.
-An inverted index holds, for each rank, the positions whose token pair has that rank. Merges are applied in
+Words of the corpus are numbered in units (a task's share of the texts), and every distinct word goes to one
+task of a hash partition of all words. There the words are laid out as one array of byte tokens with links to their
+neighbours, and an inverted index holds, for each token pair that merges, the positions where it stands. Merges are applied in
 rank order, each to all its positions in all words at once; only pairs at the touched neighbours are looked up anew.
-Every merge is thus applied once for a whole stretch of corpus instead of once a word. The words' ids are
-then gathered back into documents. A task replays, for each 4 MB of its partition's text, the words that are new
-there, and forgets the known ones beyond 2^20: the vocabulary
-of a corpus grows with it, so no table of all words is broadcast or joined to every word of the text.
+So every word is replayed once in the corpus, however many texts hold it. The words' ids return to the units that asked and
+are gathered into documents. Texts are split into words once and are not exchanged: word numbers are.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Index, byte_strings, chunks, list_array, ragged
+from .common import Index, byte_strings, chunks, list_array, ragged, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -30,9 +31,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 class Ranks:
     """A vocabulary of byte strings by rank, and the rank of each pair of tokens whose bytes together are one."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, vocabulary: bytes):
+        ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.size = max(ids.values()) + 1
         self.tokens = [b""] * self.size
         for token, i in ids.items():
@@ -67,30 +67,34 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)[sizes > 0]
     after[ends - 1] = -1
     before[(np.cumsum(sizes) - sizes)[sizes > 0]] = -1
-    index: dict[int, list[np.ndarray]] = {}
-    queue: list[int] = []
+    index: dict[int, list[np.ndarray]] = {}  # by token pair, left << 32 | right
+    queue: list[tuple[int, int]] = []  # (rank, pair)
 
     def enter(at: np.ndarray) -> None:
         """Put the pairs that begin at these positions into the index."""
-        r = ranks.of(token[at], token[after[at]])
-        at, r = at[r >= 0], r[r >= 0]
+        pair = token[at] << 32 | token[after[at]]
+        rank = ranks.of(token[at], token[after[at]])
+        at, pair, rank = at[rank >= 0], pair[rank >= 0], rank[rank >= 0]
         if not len(at):
             return
-        order = np.argsort(r, kind="stable")
-        at, r = at[order], r[order]
-        cuts = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(r))):
-            k = int(r[lo])
+        order = np.argsort(pair, kind="stable")
+        at, pair, rank = at[order], pair[order], rank[order]
+        cuts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(pair))):
+            k = int(pair[lo])
             if k not in index:
                 index[k] = []
-                heapq.heappush(queue, k)
+                heapq.heappush(queue, (int(rank[lo]), k))
             index[k].append(at[lo:hi])
 
     enter(np.flatnonzero(after >= 0))
     alive = np.ones(n, bool)
     while queue:
-        rank = heapq.heappop(queue)
-        at = np.unique(np.concatenate(index.pop(rank)))
+        # pairs of different tokens may make the same one: all of a rank are applied together, from the left
+        rank, pairs = queue[0][0], []
+        while queue and queue[0][0] == rank:
+            pairs += index.pop(heapq.heappop(queue)[1])
+        at = np.unique(np.concatenate(pairs))
         at = at[alive[at] & (after[at] >= 0)]
         at = at[ranks.of(token[at], token[after[at]]) == rank]
         if not len(at):
@@ -121,59 +125,173 @@ def decode(ids: np.ndarray, counts: np.ndarray, ranks: Ranks) -> list[bytes]:
     return [text[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)]
 
 
-def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """doc_id, token_ids, n_tokens, exact: ids under the vocabulary at ``path``, as its own greedy encoder gives them.
+#: Distinct words of a unit, bytes of words that are replayed together, and units' words for a task of it.
+UNIT_WORDS, REPLAY_BYTES, TASK_WORDS = 1 << 18, 8 << 20, 1 << 20
+
+
+def number_words(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Two kinds of rows: (unit, number, word) for the distinct words of each unit, and (unit, doc_id, numbers, mark) for documents.
 
-    ``exact`` says that decoding gives the text's bytes again; it is checked for every row. A null text has null
-    ids, n_tokens 0 and is exact; an empty one has no ids. Special tokens' strings are ordinary text. Each repeated row is
-    encoded; an empty table gives no rows; other columns are not read. ``path`` must be readable by executors.
+    ``mark`` is a 128-bit hash of the text's bytes; a null text has null numbers.
     """
 
     def run(batches):
-        ranks, pattern = Ranks(path), regex.compile(PATTERN)
-        ids, tokens, counts = Index(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        pattern, unit, ids = regex.compile(PATTERN), TaskContext.get().partitionId() << 20, Index()
         for part in chunks(batches, "t"):
-            if len(ids) > 1 << 20:
-                ids, tokens, counts = Index(), tokens[:0], counts[:0]
-            known, flat, sizes = len(ids), [], []
             column = part.column("t")
-            texts = column.to_pylist()
-            for t in texts:
+            flat, sizes = [], np.zeros(part.num_rows, np.int64)
+            for i, t in enumerate(column.to_pylist()):
                 words = pattern.findall(t) if t else []
-                sizes.append(len(words))
+                sizes[i] = len(words)
                 flat.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-            if len(ids) > known:
-                new, n = replay([w.encode() for w in islice(ids, known, None)], ranks)
-                tokens, counts = np.concatenate([tokens, new.astype(np.int32)]), np.concatenate([counts, n])
-            at = np.cumsum(counts) - counts
-            flat = np.concatenate(flat)
-            n = counts[flat]
-            out = tokens[ragged(at[flat], n)]
-            total = np.append(0, np.cumsum(n))
-            edges = np.append(0, np.cumsum(sizes))
-            per = np.diff(total[edges])
-            back = decode(out, per, ranks)
-            exact = np.array([a == b for a, b in zip(back, byte_strings(column))], bool)
-            lists = list_array(pa.array(out), per)
+            lists = list_array(pa.array(np.concatenate(flat)), sizes)
             if column.null_count:
                 lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=column.is_null())
-            yield pa.RecordBatch.from_arrays([part.column("d"), lists, pa.array(per, pa.int32()), pa.array(exact)], names=["doc_id", "token_ids", "n_tokens", "exact"])
+            marks = pa.array([xxhash.xxh3_128_digest(t) for t in byte_strings(column)], pa.binary())
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), part.column("d"), lists, marks, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            if len(ids) > UNIT_WORDS:
+                yield from words_of(unit, ids)
+                unit, ids = unit + 1, Index()
+        yield from words_of(unit, ids)
+
+    def words_of(unit: int, ids: Index):
+        words = list(ids)
+        for i in range(0, len(words), 1 << 15):
+            part = words[i : i + (1 << 15)]
+            n = len(part)
+            numbers = pa.array(np.arange(i, i + n, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), numbers, pa.array([w.encode() for w in part], pa.binary())], names=names)
+
+    names = ["unit", "doc_id", "numbers", "mark", "number", "word"]
+    return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, "unit long, doc_id long, numbers array<int>, mark binary, number int, word binary")
+
+
+def replay_words(words: DataFrame, vocabulary) -> DataFrame:
+    """(unit, number, ids) from (unit, number, word): equal words meet in one task, in order, and are replayed there once.
+
+    Only a word at the edge of two stretches of REPLAY_BYTES is replayed twice.
+    """
+
+    def run(batches):
+        ranks = Ranks(vocabulary.value)
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("word").nbytes
+            if size >= REPLAY_BYTES:
+                yield answer(held, ranks)
+                held, size = [], 0
+        if held:
+            yield answer(held, ranks)
+
+    def answer(held, ranks):
+        table = pa.Table.from_batches(held).combine_chunks()
+        coded = pc.dictionary_encode(table.column("word")).combine_chunks()
+        tokens, n = replay(coded.dictionary.to_pylist(), ranks)
+        at = coded.indices.to_numpy()
+        starts, sizes = (np.cumsum(n) - n)[at], n[at]
+        ids = list_array(pa.array(tokens[ragged(starts, sizes)].astype(np.int32)), sizes)
+        unit, number = (table.column(c).combine_chunks() for c in ("unit", "number"))
+        return pa.RecordBatch.from_arrays([unit, number, ids], names=["unit", "number", "ids"])
+
+    # by number, not by bytes: a word takes little room and much work
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
+    return words.repartition(tasks, "word").sortWithinPartitions("word").mapInArrow(run, "unit long, number int, ids array<int>")
+
+
+def gather(rows: DataFrame, vocabulary) -> DataFrame:
+    """Documents' ids from rows sorted by unit, a unit's words (number, ids) before its documents (doc_id, numbers, mark)."""
+
+    def run(batches):
+        ranks = Ranks(vocabulary.value)
+        now, parts, at, n, tokens = None, [], None, None, None
+        for batch in batches:
+            units = batch.column("unit").to_numpy()
+            edges = np.flatnonzero(np.append(True, (units[1:] != units[:-1]))) if len(units) else []
+            for lo, hi in zip(edges, np.append(edges[1:], len(units))):
+                if units[lo] != now:
+                    now, parts, tokens = units[lo], [], None
+                part = batch.slice(lo, hi - lo)
+                is_word = pc.is_valid(part.column("number"))
+                words, documents = part.filter(is_word), part.filter(pc.invert(is_word))
+                if words.num_rows:
+                    lists = words.column("ids")
+                    parts.append((words.column("number").to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
+                if not documents.num_rows:
+                    continue
+                if tokens is None:
+                    numbers, sizes, flat = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+                    begin = np.cumsum(sizes) - sizes
+                    order = np.argsort(numbers)  # numbers are 0 .. so a word's place is its number
+                    at, n, tokens = begin[order], sizes[order], flat
+                    parts = []
+                yield from answer(documents, at, n, tokens, ranks)
+
+    def answer(documents, at, n, tokens, ranks):
+        counts = pc.fill_null(documents.column("numbers").value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.cumsum(counts)
+        start = 0
+        while start < len(counts):  # about a million words at a time
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + (1 << 20), "right")))
+            part, per_word = documents.slice(start, end - start), counts[start:end]
+            flat = part.column("numbers").flatten().to_numpy()
+            sizes = n[flat] if len(flat) else np.zeros(0, np.int64)
+            out = tokens[ragged(at[flat], sizes)] if len(flat) else np.zeros(0, np.int32)
+            edge = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(per_word))]
+            per = np.diff(edge)
+            back = decode(out, per, ranks)
+            exact = [xxhash.xxh3_128_digest(a) == b for a, b in zip(back, part.column("mark").to_pylist())]
+            lists = list_array(pa.array(out.astype(np.int32)), per)
+            if part.column("numbers").null_count:
+                lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=part.column("numbers").is_null())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(per, pa.int32()), pa.array(exact, pa.bool_())], names=["doc_id", "token_ids", "n_tokens", "exact"])
+            start = end
+
+    return rows.mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, exact boolean")
+
+
+def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
+    """doc_id, token_ids, n_tokens, exact: ids under the vocabulary at ``path``, as its own greedy encoder gives them.
+
+    ``exact`` says that decoding gives the text's bytes again, as their 128-bit hashes tell; it is checked for every row. A
+    null text has null ids, n_tokens 0 and is exact; an empty one has no ids; a very long one is encoded whole. Special
+    tokens' strings are ordinary text. Each repeated row is encoded. Pairs of the same rank that overlap are merged
+    from the left. An empty table gives no rows; other columns are not read. The driver reads ``path``, about 1 MB, and sends it to the executors.
+    """
+    vocabulary = _vocabulary(df, path)
+    numbered = stored(number_words(df, doc_id, text), "word-numbers")
+    answers = replay_words(numbered.where("number is not null").select("unit", "number", "word"), vocabulary)
+    no = lambda kind: F.lit(None).cast(kind)
+    both = answers.select("unit", "number", "ids", no("long").alias("doc_id"), no("array<int>").alias("numbers"), no("binary").alias("mark")).unionByName(
+        numbered.where("number is null").select("unit", no("int").alias("number"), no("array<int>").alias("ids"), "doc_id", "numbers", "mark")
+    )
+    units = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), numbered.where("number = 0").count())
+    return gather(both.repartition(units, "unit").sortWithinPartitions("unit", F.col("number").isNull()), vocabulary)
+
 
-    return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, exact boolean")
+def _vocabulary(df: DataFrame, path: str):
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def decode_corpus(df: DataFrame, doc_id: str = "doc_id", token_ids: str = "token_ids", path: str = TOKENIZER) -> DataFrame:
     """doc_id, text from token ids; null ids give a null text, bytes that are no UTF-8 become replacement marks.
 
-    An id outside the vocabulary is an error. Repeated rows and empty tables are decoded as they are.
+    An id outside the vocabulary is an error that names it. Very long rows are decoded whole, repeated ones each; an empty table gives
+    no rows; other columns are not read.
     """
+    vocabulary = _vocabulary(df, path)
 
     def run(batches):
-        ranks = Ranks(path)
+        ranks = Ranks(vocabulary.value)
         for batch in batches:
             column = batch.column("t")
-            counts = np.array([len(x) if x is not None else 0 for x in column.to_pylist()], np.int64)
-            texts = decode(column.flatten().to_numpy().astype(np.int64), counts, ranks)
+            counts = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(ids) and not 0 <= ids.min() <= ids.max() < ranks.size:
+                raise ValueError(f"no token {ids[(ids < 0) | (ids >= ranks.size)][0]}")
+            texts = decode(ids, counts, ranks)
             shown = [None if null else t.decode("utf-8", "replace") for t, null in zip(texts, column.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(shown, pa.string())], names=["doc_id", "text"])
 
