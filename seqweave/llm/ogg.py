@@ -51,12 +51,23 @@ def clock(first: bytes):
     return "unknown", 0, lambda g: None
 
 
+def opus_samples(packet: bytes) -> int:
+    """Samples at 48 kHz that an Opus packet lasts, by its first byte: length of a frame and number of frames."""
+    if not packet:
+        return 0
+    config, code = packet[0] >> 3, packet[0] & 3
+    frame = (480, 960, 1920, 2880)[config % 4] if config < 12 else (480, 960)[config % 2] if config < 16 else (120, 240, 480, 960)[config % 4]
+    frames = (1, 2, 2)[code] if code < 3 else packet[1] & 63 if len(packet) > 1 else 0
+    return frame * frames
+
+
 @dataclass
 class Stream:
     serial: int
     pages: int = 0
     lost_pages: int = 0
     dropped: int = 0
+    begun: bool = False
     ended: bool = False
     packets: list = field(default_factory=list)  # (bytes, seconds at its end)
     codec: str = "unknown"
@@ -69,7 +80,10 @@ class Stream:
     def add(self, number: int, granule: int, flags: int, lacing: bytes, body: bytes) -> None:
         self.pages += 1
         skipping = False
-        if self._next is not None and number != self._next:
+        if self._next is None:  # pages are numbered from 0, so a stream that opens later has lost its first ones
+            self.begun = bool(flags & FIRST)
+            self.lost_pages += number
+        elif number != self._next:
             self.lost_pages += number - self._next if number > self._next else 1
             self.dropped += self._open is not None
             self._open = None
@@ -97,13 +111,19 @@ class Stream:
             if not self.packets and self.seconds is None:
                 self.codec, self.headers, self.seconds = clock(data)
             self.packets.append([data, None])
-        # the granule position is that of the last packet that ends here; those before it share the way from the last one
+        # the granule position is that of the last packet that ends here; those before it go by their own durations or share the way from the last one
         timed = [p for p in self.packets[len(self.packets) - len(done) :]][max(0, self.headers - (len(self.packets) - len(done))) :]
         if granule >= 0 and timed and self.seconds is not None:
             before = self._granule if self._granule is not None and self._granule <= granule else None
+            own = [opus_samples(data) for data, _ in timed] if self.codec == "opus" and before is not None else []
+            told = all(own) and sum(own) == granule - before if own else False  # the packets' own durations add up
+            at = before
             for i, p in enumerate(timed):
                 if i == len(timed) - 1:
                     p[1] = self.seconds(granule)
+                elif told:
+                    at += own[i]
+                    p[1] = max(self.seconds(at), 0.0)
                 elif before is not None and (lo := self.seconds(before)) is not None:
                     lo = max(lo, 0.0)  # a stream's first samples may lie before its start
                     p[1] = lo + (self.seconds(granule) - lo) * (i + 1) / len(timed)
@@ -160,12 +180,13 @@ SCHEMA = "doc_id long, stream int, serial long, codec string, n_pages int, lost_
 def ogg_streams(df: DataFrame, doc_id: str = "doc_id", media: str = "media") -> DataFrame:
     """One row for each logical stream of each medium, with its packets and their end times.
 
-    bad_pages and bytes_outside are those of the whole medium; lost_pages counts gaps in the sequence numbers;
-    dropped_packets those that lack a part; complete says that the stream's last page was seen and nothing
-    lost; duration_s is the last known time. A packet has no end_s where its codec is unknown, for header packets,
+    bad_pages and bytes_outside are those of the whole medium; lost_pages counts gaps in the sequence numbers, those before
+    the first page that was read too; dropped_packets those that lack a part; complete says that the stream's first and last page
+    were seen and nothing lost; duration_s is the last known time. Packets that end on one page before its last one go by the durations
+    that Opus packets tell of themselves, where these add up to the page's; else, and for other codecs, they get even shares. A packet has no end_s where its codec is unknown, for header packets,
     and before the first granule position. A medium without any good page, empty ones included, gives one row with null stream,
-    serial and codec; null media too, with 0 bad pages. Repeated rows are each read; an empty table gives no
-    rows; other columns are not read.
+    serial and codec; null media too, with 0 bad pages. Very long media are read whole. Repeated rows are each read; streams
+    are numbered in the order in which they begin, so there are no ties; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches):
@@ -180,7 +201,7 @@ def ogg_streams(df: DataFrame, doc_id: str = "doc_id", media: str = "media") ->
                     for i, s in enumerate(streams):
                         times = [t for _, t in s.packets if t is not None]
                         packets = [{"data": p, "end_s": t} for p, t in s.packets]
-                        whole = s.ended and not s.lost_pages and not s.dropped
+                        whole = s.begun and s.ended and not s.lost_pages and not s.dropped
                         rows.append((d, i, s.serial, s.codec, s.pages, s.lost_pages, s.dropped, bad, outside, whole, times[-1] if times else None, packets))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.float64(), _PACKET)
                 names = [c.strip().split()[0] for c in SCHEMA.split(", ")]
@@ -190,18 +211,20 @@ def ogg_streams(df: DataFrame, doc_id: str = "doc_id", media: str = "media") ->
 
 
 def multiplex(payload: bytes, seed: int, packet_bytes: int = 700, segments: int = 6) -> bytes:
-    """An Ogg medium of an Opus and a Vorbis stream whose packets carry the payload in turn.
+    """An Ogg medium of a Speex and a Vorbis stream whose packets carry the payload in turn.
+
+    Opus packets would tell durations of their own by their first bytes, which here are any.
 
     Pages hold at most ``segments`` lacing values, so packets go on across pages, and the streams' pages alternate.
     """
     heads = (
-        [b"OpusHead\x01\x02" + struct.pack("<HIHB", 312, 48000, 0, 0), b"OpusTags" + struct.pack("<II", 0, 0)],
+        [b"Speex   " + b"1.2".ljust(20, b"\0") + struct.pack("<III", 1, 80, 48000) + bytes(40), struct.pack("<II", 0, 0)],
         [b"\x01vorbis" + struct.pack("<IBIIIIBB", 0, 2, 44100, 0, 128000, 0, 0xB8, 1), b"\x03vorbis" + struct.pack("<II", 0, 0) + b"\x01", b"\x05vorbis\x01"],
     )
     pieces = [payload[i : i + packet_bytes] for i in range(0, len(payload), packet_bytes)]
     pages: list[list[bytes]] = []
     for k, head in enumerate(heads):
-        serial, step, pre = (seed * 2 + k) & 0xFFFFFFFF, (960, 1024)[k], (312, 0)[k]
+        serial, step = (seed * 2 + k) & 0xFFFFFFFF, (960, 1024)[k]
         mine = pieces[k::2]
         out = [page(serial, 0, 0, FIRST, bytes([len(head[0])]), head[0]), page(serial, 1, 0, 0 if mine else LAST, bytes(map(len, head[1:])), b"".join(head[1:]))]
         values: list[tuple[int, bytes, int]] = []  # lacing value, its bytes, packet that ends with it or -1
@@ -214,7 +237,7 @@ def multiplex(payload: bytes, seed: int, packet_bytes: int = 700, segments: int
             group = values[j : j + segments]
             ends = [e for _, _, e in group if e >= 0]
             flags = (CONTINUED if j and values[j - 1][2] < 0 else 0) | (LAST if j + segments >= len(values) else 0)
-            out.append(page(serial, len(out), pre + (ends[-1] + 1) * step if ends else -1, flags, bytes(v for v, _, _ in group), b"".join(c for _, c, _ in group)))
+            out.append(page(serial, len(out), (ends[-1] + 1) * step if ends else -1, flags, bytes(v for v, _, _ in group), b"".join(c for _, c, _ in group)))
         pages.append(out)
     mixed = []
     for i in range(max(map(len, pages))):
@@ -223,8 +246,12 @@ def multiplex(payload: bytes, seed: int, packet_bytes: int = 700, segments: int
 
 
 def damage(media: bytes, seed: int) -> bytes:
-    """By ``seed``: a flipped byte, a lost page, bytes before the start, a cut end, or nothing."""
-    at = [m.start() for m in re.finditer(b"OggS", media)] if seed % 20 in (3, 5) else []
+    """By ``seed``: a flipped byte, a lost page, either in the middle or at the first page, bytes before the start, a cut end, or nothing."""
+    at = [m.start() for m in re.finditer(b"OggS", media)] if seed % 20 in (3, 5, 11, 13) else []
+    if seed % 20 == 11 and len(at) > 1:
+        return media[at[1] :]
+    if seed % 20 == 13:
+        return media[:30] + bytes([media[30] ^ 0x55]) + media[31:]
     if seed % 20 == 3 and at:
         i = at[len(at) // 2] + 30
         return media[:i] + bytes([media[i] ^ 0x55]) + media[i + 1 :] if i < len(media) else media
@@ -241,7 +268,8 @@ def damage(media: bytes, seed: int) -> bytes:
 def text_media(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, media: each text as the payload of an Ogg medium, some of them damaged; a null text gives null media.
 
-    The tables hold no media, so the query makes them from all documents. Rows without doc_id use 0 as seed.
+    The tables hold no media, so the query makes them from all documents, whole texts of any length. Rows without doc_id use 0 as
+    seed; an empty text makes streams of headers alone; repeated rows are each made; an empty table gives no rows.
     """
 
     def run(batches):
