@@ -45,6 +45,34 @@ def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
     assert all(d.count() == 0 for d in through(spark, empty, tmp_path / "empty"))
 
 
+def test_stages_with_clashing_columns(spark, odd, clashing, tmp_path):
+    """Columns named as helpers are change nothing and keep their values."""
+    plain, named = through(spark, odd, tmp_path / "plain"), through(spark, clashing, tmp_path / "named")
+    shown = lambda d: sorted(map(repr, d.select("doc_id", "lang", "n_chars").collect()))
+    for a, b in zip(plain[:3], named):
+        assert b.columns == clashing.columns and shown(a) == shown(b) and b.where("__key = 'x' and spans = 'x' and kept = 'x'").count() == a.count()
+    assert sorted(map(repr, plain[-1].select("doc_id", "n_tokens").collect())) == sorted(map(repr, named[-1].select("doc_id", "n_tokens").collect()))
+
+
+def test_two_texts_of_one_id_both_stay(spark, tmp_path):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars between 900 and 4000").orderBy("doc_id").limit(40).collect()
+    rows = [(i // 2, r.text, r.lang, r.source, r.n_chars) for i, r in enumerate(real)]
+    language, near_copies, *_ = through(spark, spark.createDataFrame(rows, SCHEMA), tmp_path)
+    distinct = len({r.text for r in real})
+    assert language.count() == len(rows) and near_copies.count() >= distinct - 3
+
+
+def test_tables_of_earlier_stages_are_removed(spark):
+    from seqweave.llm import common
+
+    before = common.written()
+    out = corpus_pipeline.run(spark, DATA)
+    left = [p for p in common.written() if p not in before]
+    assert not any(name in p for p in left for name in ("fingerprints", "picks", "anchors", "near-copies", "language")) and out.count() > 0
+    common.discard_since(spark, before)
+    assert common.written() == before
+
+
 def test_run_equals_its_stages(spark, tmp_path):
     got = corpus_pipeline.run(spark, DATA)
     want = through(spark, spark.read.parquet(f"{DATA}/documents.parquet"), tmp_path)[-1]
