@@ -9,8 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from seqweave.llm import common, crf, length_buckets, pseudonyms, relative_lz, simhash
 
@@ -21,11 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least doc_id; rows without doc_id stay."""
-    kept = simhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return named.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near copies, the one with the least doc_id, those without one last."""
+    return simhash.remove_near_duplicates(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +29,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for personal data."""
+    """Documents with pseudonyms for personal data, under the key that the session names."""
     return pseudonyms.pseudonymise(docs)
 
 
@@ -56,10 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; every result but the last is written to the shared folder."""
+    """All stages over the documents; every result but the last is written to the shared folder.
+
+    A stage's intermediate tables and its input go as soon as its result is written; those that the last one reads stay
+    until the caller removes them by ``common.discard_since``.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = common.written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = common.stored(docs, name.replace(" ", "-"))
+            common.discard_since(spark, before, keep=[docs])
     return docs
