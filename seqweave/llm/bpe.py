@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -125,130 +126,150 @@ def decode(ids: np.ndarray, counts: np.ndarray, ranks: Ranks) -> list[bytes]:
     return [text[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)]
 
 
-#: Distinct words of a unit, bytes of words that are replayed together, and units' words for a task of it.
-UNIT_WORDS, REPLAY_BYTES, TASK_WORDS = 1 << 18, 8 << 20, 1 << 20
+#: Distinct words of a unit, bytes of text for each part of all words, and new words that are replayed together.
+UNIT_WORDS, PART_BYTES, REPLAY_WORDS = 1 << 18, 64 << 20, 1 << 18
+#: What a blob holds: words of one part, the part of each of a unit's words, documents.
+ASSIGNED, DOCUMENTS = -1, -2
+BLOBS = "unit long, part int, blob binary"
 
 
-def number_words(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Two kinds of rows: (unit, number, word) for the distinct words of each unit, and (unit, doc_id, numbers, mark) for documents.
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob, numbers byte plane by byte plane."""
+    head = np.array([len(arrays), *(v for a in arrays for v in (ord(a.dtype.char), len(a)))], np.int64)
+    body = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+    whole = head.tobytes() + body
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
 
-    ``mark`` is a 128-bit hash of the text's bytes; a null text has null numbers.
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    data = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head, at, out = np.frombuffer(data, np.int64, 2 * n, 8), 8 + 16 * n, []
+    for kind, size in head.reshape(-1, 2).tolist():
+        dtype = np.dtype(chr(kind))
+        planes = np.frombuffer(data, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(dtype).ravel())
+        at += size * dtype.itemsize
+    return out
+
+
+def blob_rows(units, parts, blobs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["unit", "part", "blob"])
+
+
+def number_words(df: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
+    """Blobs of each unit: its distinct words for each part that has some, the part of each word, and documents as word numbers.
+
+    Documents come with a 128-bit hash of the text's bytes. A word's part is a hash of it, so equal words of all units meet.
     """
 
     def run(batches):
         pattern, unit, ids = regex.compile(PATTERN), TaskContext.get().partitionId() << 20, Index()
         for part in chunks(batches, "t"):
-            column = part.column("t")
-            flat, sizes = [], np.zeros(part.num_rows, np.int64)
+            column, ident = part.column("t"), part.column("d")
+            flat, sizes = [], np.zeros(part.num_rows, np.int32)
             for i, t in enumerate(column.to_pylist()):
                 words = pattern.findall(t) if t else []
                 sizes[i] = len(words)
                 flat.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-            lists = list_array(pa.array(np.concatenate(flat)), sizes)
-            if column.null_count:
-                lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=column.is_null())
-            marks = pa.array([xxhash.xxh3_128_digest(t) for t in byte_strings(column)], pa.binary())
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), part.column("d"), lists, marks, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            marks = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in byte_strings(column)]), np.int64)
+            nulls = ident.is_null().to_numpy(zero_copy_only=False) + np.uint8(2) * column.is_null().to_numpy(zero_copy_only=False)
+            yield blob_rows([unit], [DOCUMENTS], [pack(pc.fill_null(ident, 0).to_numpy(), nulls.astype(np.uint8), sizes, marks, np.concatenate(flat))])
             if len(ids) > UNIT_WORDS:
-                yield from words_of(unit, ids)
+                yield words_of(unit, ids)
                 unit, ids = unit + 1, Index()
-        yield from words_of(unit, ids)
+        yield words_of(unit, ids)
 
     def words_of(unit: int, ids: Index):
-        words = list(ids)
-        for i in range(0, len(words), 1 << 15):
-            part = words[i : i + (1 << 15)]
-            n = len(part)
-            numbers = pa.array(np.arange(i, i + n, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), numbers, pa.array([w.encode() for w in part], pa.binary())], names=names)
+        words = [w.encode() for w in ids]
+        of = np.array([xxhash.xxh32_intdigest(w) for w in words], np.uint32) % np.uint32(parts) if words else np.zeros(0, np.uint32)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(edges))
+        blobs = []
+        for p in some.tolist():
+            mine = [words[i] for i in order[edges[p] : edges[p + 1]].tolist()]
+            blobs.append(pack(np.fromiter(map(len, mine), np.int32, len(mine)), np.frombuffer(b"".join(mine), np.uint8)))
+        kind = np.uint8 if parts <= 256 else np.uint16 if parts <= 65536 else np.uint32
+        return blob_rows([unit] * (len(some) + 1), [*some.tolist(), ASSIGNED], [*blobs, pack(of.astype(kind))])
 
-    names = ["unit", "doc_id", "numbers", "mark", "number", "word"]
-    return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, "unit long, doc_id long, numbers array<int>, mark binary, number int, word binary")
+    return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, BLOBS)
 
 
-def replay_words(words: DataFrame, vocabulary) -> DataFrame:
-    """(unit, number, ids) from (unit, number, word): equal words meet in one task, in order, and are replayed there once.
-
-    Only a word at the edge of two stretches of REPLAY_BYTES is replayed twice.
-    """
+def replay_words(words: DataFrame, vocabulary, parts: int) -> DataFrame:
+    """For each blob of words one of their numbers of ids and their ids. A part is a task, and replays each of its words once."""
 
     def run(batches):
         ranks = Ranks(vocabulary.value)
-        held, size = [], 0
+        token = np.uint16 if ranks.size <= 1 << 16 else np.uint32
+        ids, flat, counts = Index(), np.zeros(0, token), np.zeros(0, np.int32)
+        held = []  # blobs whose words wait to be replayed
+        known = 0
+
+        def answers():
+            nonlocal flat, counts, known
+            if len(ids) > known:
+                new, n = replay(list(islice(ids, known, None)), ranks)
+                flat, counts, known = np.concatenate([flat, new.astype(token)]), np.concatenate([counts, n.astype(np.int32)]), len(ids)
+            starts = np.cumsum(counts, dtype=np.int64) - counts
+            for unit, part, at in held:
+                n = counts[at]
+                yield blob_rows([unit], [part], [pack(n, flat[ragged(starts[at], n.astype(np.int64))])])
+            held.clear()
+
         for batch in batches:
-            held.append(batch)
-            size += batch.column("word").nbytes
-            if size >= REPLAY_BYTES:
-                yield answer(held, ranks)
-                held, size = [], 0
-        if held:
-            yield answer(held, ranks)
-
-    def answer(held, ranks):
-        table = pa.Table.from_batches(held).combine_chunks()
-        coded = pc.dictionary_encode(table.column("word")).combine_chunks()
-        tokens, n = replay(coded.dictionary.to_pylist(), ranks)
-        at = coded.indices.to_numpy()
-        starts, sizes = (np.cumsum(n) - n)[at], n[at]
-        ids = list_array(pa.array(tokens[ragged(starts, sizes)].astype(np.int32)), sizes)
-        unit, number = (table.column(c).combine_chunks() for c in ("unit", "number"))
-        return pa.RecordBatch.from_arrays([unit, number, ids], names=["unit", "number", "ids"])
-
-    # by number, not by bytes: a word takes little room and much work
-    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
-    return words.repartition(tasks, "word").sortWithinPartitions("word").mapInArrow(run, "unit long, number int, ids array<int>")
-
-
-def gather(rows: DataFrame, vocabulary) -> DataFrame:
-    """Documents' ids from rows sorted by unit, a unit's words (number, ids) before its documents (doc_id, numbers, mark)."""
+            for unit, part, blob in zip(*(batch.column(c).to_pylist() for c in ("unit", "part", "blob"))):
+                lengths, data = unpack(blob)
+                data, ends = data.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist()
+                held.append((unit, part, np.fromiter((ids[data[a:b]] for a, b in zip([0, *ends[:-1]], ends)), np.int64, len(ends))))
+                if len(ids) - known > REPLAY_WORDS or len(held) > 256:
+                    yield from answers()
+        yield from answers()
+
+    return words.repartitionById(parts, F.col("part")).mapInArrow(run, BLOBS)
+
+
+def gather(blobs: DataFrame, vocabulary) -> DataFrame:
+    """Documents' ids from blobs sorted by unit, in each the answers first, then the words' parts, then documents."""
 
     def run(batches):
         ranks = Ranks(vocabulary.value)
-        now, parts, at, n, tokens = None, [], None, None, None
+        now, answers, begin, sizes, tokens = None, {}, None, None, None
         for batch in batches:
-            units = batch.column("unit").to_numpy()
-            edges = np.flatnonzero(np.append(True, (units[1:] != units[:-1]))) if len(units) else []
-            for lo, hi in zip(edges, np.append(edges[1:], len(units))):
-                if units[lo] != now:
-                    now, parts, tokens = units[lo], [], None
-                part = batch.slice(lo, hi - lo)
-                is_word = pc.is_valid(part.column("number"))
-                words, documents = part.filter(is_word), part.filter(pc.invert(is_word))
-                if words.num_rows:
-                    lists = words.column("ids")
-                    parts.append((words.column("number").to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
-                if not documents.num_rows:
-                    continue
-                if tokens is None:
-                    numbers, sizes, flat = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
-                    begin = np.cumsum(sizes) - sizes
-                    order = np.argsort(numbers)  # numbers are 0 .. so a word's place is its number
-                    at, n, tokens = begin[order], sizes[order], flat
-                    parts = []
-                yield from answer(documents, at, n, tokens, ranks)
-
-    def answer(documents, at, n, tokens, ranks):
-        counts = pc.fill_null(documents.column("numbers").value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        total = np.cumsum(counts)
-        start = 0
-        while start < len(counts):  # about a million words at a time
-            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + (1 << 20), "right")))
-            part, per_word = documents.slice(start, end - start), counts[start:end]
-            flat = part.column("numbers").flatten().to_numpy()
-            sizes = n[flat] if len(flat) else np.zeros(0, np.int64)
-            out = tokens[ragged(at[flat], sizes)] if len(flat) else np.zeros(0, np.int32)
-            edge = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(per_word))]
-            per = np.diff(edge)
-            back = decode(out, per, ranks)
-            exact = [xxhash.xxh3_128_digest(a) == b for a, b in zip(back, part.column("mark").to_pylist())]
-            lists = list_array(pa.array(out.astype(np.int32)), per)
-            if part.column("numbers").null_count:
-                lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=part.column("numbers").is_null())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(per, pa.int32()), pa.array(exact, pa.bool_())], names=["doc_id", "token_ids", "n_tokens", "exact"])
-            start = end
-
-    return rows.mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, exact boolean")
+            for unit, part, blob in zip(*(batch.column(c).to_pylist() for c in ("unit", "part", "blob"))):
+                if unit != now:
+                    now, answers = unit, {}
+                arrays = unpack(blob)
+                if part >= 0:
+                    answers[part] = arrays
+                elif part == ASSIGNED:
+                    of, at, pieces = arrays[0], 0, []
+                    begin, sizes = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+                    order = np.argsort(of, kind="stable")
+                    edges = np.searchsorted(of[order], np.arange(int(of.max(initial=0)) + 2))
+                    for p, (n, flat) in answers.items():
+                        mine = order[edges[p] : edges[p + 1]]
+                        sizes[mine] = n
+                        begin[mine] = at + np.cumsum(n, dtype=np.int64) - n
+                        at += len(flat)
+                        pieces.append(flat)
+                    tokens, answers = np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32), {}
+                else:
+                    yield documents(arrays, begin, sizes, tokens, ranks)
+
+    def documents(arrays, begin, sizes, tokens, ranks):
+        ident, nulls, counts, marks, flat = arrays
+        n = sizes[flat]
+        out = tokens[ragged(begin[flat], n)]
+        per = np.diff(np.append(0, np.cumsum(n))[np.append(0, np.cumsum(counts, dtype=np.int64))])
+        digests = b"".join([xxhash.xxh3_128_digest(t) for t in decode(out, per, ranks)])
+        exact = (np.frombuffer(digests, np.int64).reshape(-1, 2) == marks.reshape(-1, 2)).all(axis=1)
+        lists = list_array(pa.array(out), per)
+        if (nulls & 2).any():
+            lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array((nulls & 2) > 0))
+        return pa.RecordBatch.from_arrays([pa.array(ident, mask=(nulls & 1) > 0), lists, pa.array(per, pa.int32()), pa.array(exact)], names=["doc_id", "token_ids", "n_tokens", "exact"])
+
+    return blobs.mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, exact boolean")
 
 
 def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
@@ -260,14 +281,13 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
     from the left. An empty table gives no rows; other columns are not read. The driver reads ``path``, about 1 MB, and sends it to the executors.
     """
     vocabulary = _vocabulary(df, path)
-    numbered = stored(number_words(df, doc_id, text), "word-numbers")
-    answers = replay_words(numbered.where("number is not null").select("unit", "number", "word"), vocabulary)
-    no = lambda kind: F.lit(None).cast(kind)
-    both = answers.select("unit", "number", "ids", no("long").alias("doc_id"), no("array<int>").alias("numbers"), no("binary").alias("mark")).unionByName(
-        numbered.where("number is null").select("unit", no("int").alias("number"), no("array<int>").alias("ids"), "doc_id", "numbers", "mark")
-    )
-    units = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), numbered.where("number = 0").count())
-    return gather(both.repartition(units, "unit").sortWithinPartitions("unit", F.col("number").isNull()), vocabulary)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-(df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
+    numbered = stored(number_words(df, doc_id, text, parts), "word-numbers")
+    answers = replay_words(numbered.where("part >= 0"), vocabulary, parts)
+    units = max(tasks, numbered.where(F.col("part") == ASSIGNED).count())
+    both = answers.unionByName(numbered.where("part < 0")).repartition(units, "unit").sortWithinPartitions("unit", F.col("part").desc())
+    return gather(both, vocabulary)
 
 
 def _vocabulary(df: DataFrame, path: str):

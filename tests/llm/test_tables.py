@@ -166,7 +166,8 @@ def test_units_and_stretches_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     want = sorted(map(repr, bpe.encode_corpus(docs).collect()))
     monkeypatch.setattr(bpe, "UNIT_WORDS", 300)
-    monkeypatch.setattr(bpe, "REPLAY_BYTES", 100)
+    monkeypatch.setattr(bpe, "REPLAY_WORDS", 100)
+    monkeypatch.setattr(bpe, "PART_BYTES", 3_000)
     assert sorted(map(repr, bpe.encode_corpus(docs.repartition(4)).collect())) == want
 
 
