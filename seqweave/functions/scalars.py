@@ -46,11 +46,20 @@ def rounded_timecode(seconds: Column) -> Column:
 
 
 def parse_timecode(text: Column) -> Column:
-    """Seconds of [H]H:MM:SS,mmm; null for another shape."""
-    t = F.replace(F.trim(text), F.lit(","), F.lit("."))
-    part = lambda i: F.regexp_extract(t, r"^(\d+):(\d+):(\d+(?:\.\d+)?)$", i)
-    ok = F.regexp_like(t, F.lit(r"^\d+:\d+:\d+(\.\d+)?$"))
-    return F.when(ok, part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double"))
+    """Seconds of [H]H:MM:SS with or without ,mmm or .mmm; null for another shape."""
+    t = F.replace(strip(text), F.lit(","), F.lit("."))
+    shape = r"^(\d+) *: *(\d+) *: *(\d+\.?\d*|\.\d+)$"
+    part = lambda i: F.regexp_extract(t, shape, i)
+    return F.when(F.regexp_like(t, F.lit(shape)), part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double"))
+
+
+def parse_times(line: Column) -> tuple[Column, Column]:
+    """Start and end of a cue's time line: two time codes with ' --> ' between them and nothing else; null for another line."""
+    parts = F.split(strip(line), " --> ")
+    two = F.size(parts) == 2
+    start, end = (F.when(two, parse_timecode(F.try_element_at(parts, F.lit(i)))) for i in (1, 2))
+    whole = start.isNotNull() & end.isNotNull()
+    return F.when(whole, start), F.when(whole, end)
 
 
 def without_stops(text: Column) -> Column:
@@ -59,8 +68,27 @@ def without_stops(text: Column) -> Column:
 
 def strip_language(stem: Column, codes: Sequence[str] = LANGUAGE_CODES) -> Column:
     """Without the last dotted part if it is a language code; once, and in any case."""
-    last = F.regexp_extract(stem, r"^.+\.([^.]+)$", 1)
-    return F.when(F.lower(last).isin(*codes), F.regexp_replace(stem, r"\.[^.]+$", "")).otherwise(stem)
+    last = F.substring_index(stem, ".", -1)
+    known = (F.instr(stem, ".") > 0) & F.lower(last).isin(*codes)
+    return F.when(known, F.left(stem, F.length(stem) - F.length(last) - 1)).otherwise(stem)
+
+
+def work_names(path: Column) -> tuple[Column, Column, Column]:
+    """Names for a file's summary: a work folder's, unique by path, the output, and the output where that is taken.
+
+    The work name lacks the process and time marks that a single run may add: it is the same each time.
+    """
+    base = F.substring_index(path, "/", -1)
+    folder = F.left(path, F.length(path) - F.length(base))
+    ending = F.substring_index(base, ".", -1)
+    stem = F.when(F.instr(base, ".") > 0, F.left(base, F.length(base) - F.length(ending) - 1)).otherwise(base)
+    bare = strip_language(stem)
+    return F.concat(slug(bare), F.lit("-"), path_mark(path)), F.concat(folder, bare, F.lit(".summary.en.srt")), F.concat(folder, stem, F.lit(".summary.en.srt"))
+
+
+def numbered(texts: Column) -> Column:
+    """Texts as lines numbered from 1."""
+    return F.array_join(F.transform(texts, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(t, F.lit("")))), "\n")
 
 
 def slug(stem: Column) -> Column:
@@ -85,7 +113,8 @@ def image_file(tag: Column) -> Column:
 
 
 def episode(name: Column) -> Column:
-    return F.regexp_extract(name, r"[E\- ](\d{2})", 1)
+    """The last two digits that stand behind E, a dash or a blank and before a dot or a dash; '' without any."""
+    return F.regexp_extract(name, r"^.*[E -]([0-9]{2})[.\-]", 1)
 
 
 def without_fence(text: Column) -> Column:
@@ -103,15 +132,23 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
-def visible_chars(text: Column, depth: int = 4) -> Column:
+def visible_chars(text: Column) -> Column:
     """Characters to be read: braces' marks, line breaks, bracketed remarks and white space don't count.
 
-    Brackets nest to ``depth``: a pass removes the innermost ones.
+    Brackets go with all that stands between them, nested to any depth; those without a partner stay. Wide brackets are matched
+    by bytes, as the behaviour to be matched does: one that holds a character with a byte EF, BC or 89 in UTF-8 stays.
     """
+    inner = r"\([^()]*\)"
     t = F.regexp_replace(F.regexp_replace(text, r"\{[^}]*\}", ""), r"\\[Nn]", "")
-    for _ in range(depth):
-        t = F.regexp_replace(t, r"\([^()]*\)", "")
-    return F.length(F.regexp_replace(F.regexp_replace(t, "（[^）]*）", ""), r"\s+", ""))
+    for _ in range(3):
+        t = F.regexp_replace(t, inner, "")
+    # few texts nest deeper: each further pass takes one level, and there are at most as many as there are open ones
+    opened = F.length(t) - F.length(F.replace(t, F.lit("(")))
+    deep = F.aggregate(F.sequence(F.lit(1), F.greatest(opened, F.lit(1))), t, lambda acc, _: F.when(acc.rlike(inner), F.regexp_replace(acc, inner, "")).otherwise(acc))
+    t = F.when(t.rlike(inner), deep).otherwise(t)
+    by_bytes = F.regexp_replace(F.decode(F.encode(t, "utf-8"), "iso-8859-1"), "\u00ef\u00bc\u0088[^\u00ef\u00bc\u0089]*\u00ef\u00bc\u0089", "")
+    t = F.when(F.instr(t, "（") > 0, F.decode(F.encode(by_bytes, "iso-8859-1"), "utf-8")).otherwise(t)
+    return F.length(F.regexp_replace(t, r"\s+", ""))
 
 
 def pause(chars: Column, per_char: float = 0.06, least: float = 0.5, from_chars: int = 2) -> Column:

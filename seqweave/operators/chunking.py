@@ -79,6 +79,12 @@ def check_chunks(chunks: DataFrame, outputs: DataFrame, key: Sequence[str]) -> D
     return chunks.join(found, [*key, "chunk_id"], "left").select(*key, "chunk_id", "num_blocks", "n_found", state.alias("state"))
 
 
+def failed_chunks(states: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The numbers of each key's missing and mismatched chunks, in order, from check_chunks."""
+    of = lambda state: F.array_sort(F.collect_list(F.when(F.col("state") == state, F.col("chunk_id"))))
+    return states.groupBy(*key).agg(of("missing").alias("missing"), of("mismatch").alias("mismatched"))
+
+
 def reassemble(blocks: DataFrame, chunks: DataFrame, outputs: DataFrame, key: Sequence[str]) -> DataFrame:
     """Blocks with the returned text of their place, repaired; '' where none came back."""
     placed = chunks.join(outputs, [*key, "chunk_id"]).select(*key, "start_block", F.posexplode(F.slice("output", F.lit(1), F.col("num_blocks"))).alias("i", "new"))

@@ -6,6 +6,7 @@ one exchange, no group held in memory, no call for each group.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -87,13 +88,14 @@ def next_section_tokens(df: DataFrame, key: Sequence[str], enders: str = SENTENC
     stops = F.lag(last_char_in(F.col("text"), enders + comma)).over(over(key))
     d = label_runs(df, speaker_change(key) | stops, key, "__section")
     w = over(key)
-    total = d.groupBy(*key, "__section").agg(F.sum("morph_count").alias("__tokens"), F.min_by("speaker", "pos").alias("__speaker"))
-    following = total.select(*key, (F.col("__section") - 1).alias("__section"), F.col("__tokens").alias("__following"), F.col("__speaker").alias("__follower"))
-    last_of_section = F.lead("__section").over(w) != F.col("__section")
-    rest = F.sum("morph_count").over(over([*key, "__section"]).rowsBetween(1, W.unboundedFollowing))
-    d = d.withColumn("__rest", F.coalesce(rest, F.lit(0))).withColumn("__last", F.coalesce(last_of_section, F.lit(False)))
-    d = d.join(following, [*key, "__section"], "left")
-    after = F.when(F.col("__last") & F.col("__follower").eqNullSafe(F.col("speaker")), F.coalesce("__following", F.lit(0))).when(F.col("__last"), 0).otherwise(F.col("__rest"))
+    section = over([*key, "__section"])
+    rest = F.sum("morph_count").over(section.rowsBetween(1, W.unboundedFollowing))
+    whole = F.sum("morph_count").over(section.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    d = d.withColumn("__rest", F.coalesce(rest, F.lit(0))).withColumn("__tokens", whole)
+    w = over(key)
+    last = F.coalesce(F.lead("__section").over(w) != F.col("__section"), F.lit(False))
+    same = F.lead("speaker").over(w).eqNullSafe(F.col("speaker"))
+    after = F.when(last & same, F.coalesce(F.lead("__tokens").over(w), F.lit(0))).when(last, 0).otherwise(F.col("__rest"))
     return d.withColumn("next_tokens", after.cast("int")).select(*df.columns, "next_tokens")
 
 
@@ -107,12 +109,12 @@ def sentence_cues(df: DataFrame, key: Sequence[str], enders: str = SENTENCE_ENDE
         def step(text, begin, end, speaker, tokens, following):
             if state["open"] and (speaker != state["speaker"] or begin - state["end"] >= least_gap):
                 state.update(id=state["id"] + 1, tokens=0)
-            state["tokens"] += tokens
+            state["tokens"] += tokens or 0
             here, mark = state["id"], (text or "")[-1:]
             state.update(open=True, speaker=speaker, end=end)
             flush = bool(mark) and mark in enders
             if not flush and mark and mark in comma and state["tokens"] >= COMMA_TOKENS:
-                flush = not (following <= COMMA_NEXT and state["tokens"] <= COMMA_KEEP)
+                flush = not ((following or 0) <= COMMA_NEXT and state["tokens"] <= COMMA_KEEP)
             if flush:
                 state.update(id=here + 1, open=False, tokens=0)
             return here
@@ -128,31 +130,27 @@ def merge_tiny_segments(df: DataFrame, key: Sequence[str], tiny: int = TINY_CHAR
     Cut behind the first unit that ends with a stop, else where the halves differ least, the first such place.
     """
     names = df.columns
-    k, at = [names.index(c) for c in key], {c: names.index(c) for c in ("text", "start", "end", "speaker", segment)}
+    k, take, place = [names.index(c) for c in key], [names.index(c) for c in ("text", "start", "end", "speaker", segment)], names.index(segment)
+    TEXT, START, END, SPEAKER = range(4)
 
     def run(batches):
         held: list[list] = []  # segments of units that may still change: the last one put out, and the one being read
-        now, number, out = None, -1, []
+        now, number, reading, labels, waiting = None, -1, None, [], deque()
 
         def chars(units):
-            return sum(len(u[at["text"]] or "") for u in units)
+            return sum(len(u[TEXT] or "") for u in units)
 
         def emit(units):
             nonlocal number
             number += 1
-            for u in units:
-                u[at[segment]] = number
-                out.append(u)
+            labels.extend([number] * len(units))
 
         def close():
             """The segment being read is complete: join it to the one before or let that one go."""
             if len(held) < 2:
                 return
             last, seg = held
-            joins = (
-                chars(seg) < tiny and seg[0][at["speaker"]] == last[-1][at["speaker"]] and not any(stop in (u[at["text"]] or "") for u in last)
-                and seg[0][at["start"]] - last[-1][at["end"]] < least_gap
-            )
+            joins = chars(seg) < tiny and seg[0][SPEAKER] == last[-1][SPEAKER] and not any(stop in (u[TEXT] or "") for u in last) and seg[0][START] - last[-1][END] < least_gap
             if not joins:
                 emit(last)
                 held[:] = [seg]
@@ -161,8 +159,8 @@ def merge_tiny_segments(df: DataFrame, key: Sequence[str], tiny: int = TINY_CHAR
             if chars(units) <= limit:
                 held[:] = [units]
                 return
-            lengths = [len(u[at["text"]] or "") for u in units]
-            cut = next((i + 1 for i, u in enumerate(units[:-1]) if (u[at["text"]] or "").endswith(stop)), None)
+            lengths = [len(u[TEXT] or "") for u in units]
+            cut = next((i + 1 for i, u in enumerate(units[:-1]) if (u[TEXT] or "").endswith(stop)), None)
             if cut is None:
                 total, run_length, best = sum(lengths), 0, None
                 for i, n in enumerate(lengths[:-1]):
@@ -172,33 +170,33 @@ def merge_tiny_segments(df: DataFrame, key: Sequence[str], tiny: int = TINY_CHAR
             emit(units[:cut])
             held[:] = [units[cut:]]
 
-        def batch_of(rows, schema):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+        def ready():
+            """Batches of which every row has its label, the label beside the columns as they came."""
+            while waiting and len(labels) >= waiting[0].num_rows:
+                batch = waiting.popleft()
+                n = batch.num_rows
+                columns = [pa.array(labels[:n], batch.schema.field(i).type) if i == place else c for i, c in enumerate(batch.columns[: len(names)])]
+                del labels[:n]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        schema = None
         for batch in batches:
-            schema = pa.schema([batch.schema.field(i) for i in range(len(names))])
-            for row in zip(*(c.to_pylist() for c in batch.columns[: len(names)])):
-                u = list(row)
-                group = tuple(u[i] for i in k)
+            waiting.append(batch)
+            groups = zip(*(batch.column(i).to_pylist() for i in k))
+            for group, *u, s in zip(groups, *(batch.column(i).to_pylist() for i in take)):
                 if group != now:
                     close()
                     for units in held:
                         emit(units)
-                    held, now, number = [], group, -1
-                    reading = None
-                if reading is None or u[at[segment]] != reading:
+                    held, now, number, reading = [], group, -1, None
+                if reading is None or s != reading:
                     close()
                     held.append([])
-                    reading = u[at[segment]]
+                    reading = s
                 held[-1].append(u)
-            if len(out) > 4096:
-                yield batch_of(out, schema)
-                out = []
+            yield from ready()
         close()
         for units in held:
             emit(units)
-        if out:
-            yield batch_of(out, schema)
+        yield from ready()
 
     return clustered(df, key).mapInArrow(run, df.schema)

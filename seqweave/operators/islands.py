@@ -114,6 +114,6 @@ def summarise(df: DataFrame, key: Sequence[str], joiner: Column | None = None) -
     )
 
 
-def linger(key: Sequence[str], by=0.5) -> Column:
+def linger(key: Sequence[str], by=0.5, order: Sequence[str] = ("pos",)) -> Column:
     """A cue's shown end: longer by ``by`` but not into the next cue."""
-    return F.least(F.col("end") + by, F.lead("start").over(over(key)))
+    return F.least(F.col("end") + by, F.lead("start").over(over(key, order)))

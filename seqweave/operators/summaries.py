@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..schema import CORE, TILE, WINDOW
+from ..functions.scalars import numbered, strip, without_fence
+from ..schema import CORE, MANY_WINDOWS, TILE, WINDOW
 from .islands import clustered
 
 
@@ -18,6 +19,44 @@ def window_estimate(n: Column, core: int = CORE) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / core)).cast("int")
 
 
+def window_plan(n: Column) -> tuple[Column, Column]:
+    """The number of windows to expect, and a warning where a text is long enough to be split by hand first."""
+    windows = window_estimate(n)
+    return windows, F.when(windows > MANY_WINDOWS, F.format_string("about %d windows; split the text", windows))
+
+
+def brief(premise: Column, recent: Column, texts: Column) -> Column:
+    """What a summariser is given for a window: the premise, the last ranges (start, end, summary) and the numbered sentences."""
+    before = F.array_join(F.transform(recent, lambda r: F.format_string("- (sentences %d-%d) %s", r["start"], r["end"], r["summary"])), "\n")
+    parts = ("[premise]", F.coalesce(premise, F.lit("(none)"))), ("[before]", F.when(F.size(recent) > 0, before).otherwise("(first window)")), ("[sentences]", numbered(texts))
+    return F.concat_ws("\n", *[c for title, body in parts for c in (F.lit(title), body)])
+
+
+def parse_answer(raw: Column, n: Column) -> tuple[Column, Column]:
+    """Ranges (start, end, summary) of a summariser's answer in order with gaps closed, and why it can't be accepted.
+
+    An answer is a JSON array, perhaps within a code fence, of objects with start, end and summary; one of the two
+    columns is null. The reasons are looked for in the order in which they are named here.
+    """
+    body = without_fence(raw)
+    loose = F.from_json(body, "array<struct<start:string,end:string,summary:string>>")
+    strict = F.from_json(body, "array<struct<start:int,end:int,summary:string>>")
+    # a value of another type makes the whole answer null in the strict reading
+    missing = F.exists(loose, lambda c: c["start"].isNull() | c["end"].isNull() | c["summary"].isNull())
+    typed = strict.isNotNull() & ~F.exists(strict, lambda c: c["start"].isNull() | c["end"].isNull())
+    bare = F.exists(loose, lambda c: ~c["start"].rlike(r"^-?[0-9]+$") | ~c["end"].rlike(r"^-?[0-9]+$"))
+    ordered = F.array_sort(strict)
+    follows = F.transform(ordered, lambda c, i: F.struct(c["start"].alias("start"), F.coalesce(F.try_element_at(ordered, i)["end"], F.lit(0)).alias("before"), i.alias("i")))
+    problem = (
+        F.when(loose.isNull() | (F.size(loose) <= 0) | F.exists(loose, lambda c: c.isNull()), "not an array of objects")
+        .when(missing, "missing key").when(~typed | bare, "not whole numbers").when(F.exists(strict, lambda c: c["start"] > c["end"]), "reversed")
+        .when(F.exists(strict, lambda c: strip(c["summary"]) == ""), "blank").when(F.try_element_at(ordered, F.lit(1))["start"] != 1, "first is not 1")
+        .when(F.exists(follows, lambda c: (c["i"] > 0) & (c["start"] <= c["before"])), "overlap").when(F.try_element_at(ordered, F.lit(-1))["end"] > n, "outside")
+    )
+    closed = F.transform(ordered, lambda c, i: F.struct(c["start"].alias("start"), F.coalesce(F.try_element_at(ordered, i + 2)["start"] - 1, n).cast("int").alias("end"), c["summary"].alias("summary")))
+    return F.when(problem.isNull(), closed), problem
+
+
 def fallback_tiles(n: Column, tile: int = TILE) -> Column:
     """Ranges (start, end), from 1 and inclusive, of ``tile`` sentences each."""
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / tile).cast("int")), lambda i: F.struct((i * tile + 1).alias("start"), F.least((i + 1) * tile, n).cast("int").alias("end")))).otherwise(

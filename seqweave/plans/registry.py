@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import chunking, folds, islands, pairing, summaries
+from ..sources import files
 from .views import COMMA, ENDERS, TIMED, table, timed_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,16 +59,15 @@ def word_filter_project(spark, sf_dir):
     return w.select("conv_id", "pos", F.bround(F.col("start") / 1000, 3).alias("start_s"), F.bround(F.col("end") / 1000, 3).alias("end_s"), F.bround(S.log_confidence(1 / F.col("morph_count")), 4).alias("logprob"))
 
 
-@query(f"""WITH {TIMED}, c AS (SELECT *, length(text) AS n, unnest(range(0, length(text))) AS i FROM tv)
-SELECT conv_id, pos, i::INT AS sub, text[i + 1:i + 1] AS ch, round(s + (e - s) * i / n, 3) AS start_ms,
-  CASE WHEN n = 1 AND text IN ('.', '!', '?') AND e - s > 200 THEN s + 100.0 ELSE round(s + (e - s) * (i + 1) / n, 3) END AS end_ms FROM c""")
+@query(f"""WITH {TIMED}, t AS (SELECT conv_id, pos, CASE WHEN pos % 7 = 0 THEN right(text, 1) ELSE text END AS text, s / 1000.0::DOUBLE AS s, e / 1000.0::DOUBLE AS e FROM tv),
+c AS (SELECT *, length(text) AS n, unnest(range(0, length(text))) AS i FROM t)
+SELECT conv_id::VARCHAR AS transcript_id, pos, i::INT AS sub, text[i + 1:i + 1] AS ch, round(s + (e - s) * i / n, 6) AS start_s,
+  CASE WHEN n = 1 THEN CASE WHEN text IN ('!', '?') AND e - s > 0.2 THEN round(s + 0.1, 6) ELSE round(e, 6) END ELSE round(s + (e - s) * (i + 1) / n, 6) END AS end_s FROM c""")
 def char_interpolation(spark, sf_dir):
-    """Characters of words with their share of the time; a long single mark is cut short."""
-    n = F.length("text")
-    c = timed_words(spark, sf_dir).select("*", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("text", i, F.lit(1)))).alias("sub", "ch"))
-    a, b = S.interpolate(F.col("start"), F.col("end"), F.col("sub"), n)
-    end = F.when(n == 1, S.clamp_ender(F.col("text"), F.col("start"), F.col("end"), 200, 100, ENDERS).cast("double")).otherwise(F.round(b, 3))
-    return c.select("conv_id", "pos", "sub", "ch", F.round(a, 3).alias("start_ms"), end.alias("end_ms"))
+    """Characters of words with their share of the time; a long single mark, as every seventh word is made here, is cut short."""
+    text = F.when(F.col("pos") % 7 == 0, F.right("text", F.lit(1))).otherwise(F.col("text"))
+    w = timed_words(spark, sf_dir).select(F.col("conv_id").cast("string").alias("transcript_id"), "pos", text.alias("text"), (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), F.lit("word").alias("type"), "speaker")
+    return files.characters(w).select("transcript_id", "pos", "sub", F.col("text").alias("ch"), F.round("start", 6).alias("start_s"), F.round("end", 6).alias("end_s"))
 
 
 @query(f"""WITH {TIMED}, f AS (SELECT *, sum((pc IN ('.', '!', '?'))::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS id FROM tv)
@@ -102,9 +102,25 @@ def maximal_segments(spark, sf_dir):
     return d.select("conv_id", "segment_id", "speaker", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "text", "chars", "tokens", "units")
 
 
-@query()
+#: Segments one after the other: ``held`` may still change, ``gone`` is what the step put out, as segment num - 1.
+_MERGED = f"""{_SEGMENTS}, us AS MATERIALIZED (SELECT conv_id, segment_id, list(struct_pack(pos := pos, text := text, s := s, e := e, speaker := speaker) ORDER BY pos) AS u FROM f GROUP BY conv_id, segment_id),
+mb AS (
+  SELECT conv_id, segment_id, 0 AS num, u AS held, u[1:0] AS gone FROM us WHERE segment_id = 0
+  UNION ALL
+  SELECT conv_id, segment_id, num + (cut > 0)::INT, CASE WHEN cut = 0 THEN units ELSE units[cut + 1:] END, CASE WHEN cut = 0 THEN units[1:0] ELSE units[1:cut] END FROM (
+    SELECT *, CASE WHEN NOT joins THEN n_held WHEN total <= 18 THEN 0 ELSE coalesce(
+        list_min(list_filter(range(1, len(units)), lambda i: suffix(units[i].text, '.'))),
+        list_min(list_transform(range(1, len(units)), lambda i: struct_pack(d := abs(2 * list_sum(list_transform(units[1:i], lambda x: length(x.text))) - total), i := i))).i) END AS cut FROM (
+      SELECT n.conv_id, n.segment_id, p.num, p.held || n.u AS units, len(p.held) AS n_held, list_sum(list_transform(p.held || n.u, lambda x: length(x.text))) AS total,
+        list_sum(list_transform(n.u, lambda x: length(x.text))) < 8 AND n.u[1].speaker = p.held[-1].speaker AND len(list_filter(p.held, lambda x: contains(x.text, '.'))) = 0 AND n.u[1].s - p.held[-1].e < 400 AS joins
+      FROM mb p JOIN us n ON n.conv_id = p.conv_id AND n.segment_id = p.segment_id + 1)))"""
+
+
+@query(f"""WITH {_MERGED}, o AS (SELECT conv_id, num - 1 AS segment_id, unnest(gone) AS x FROM mb
+  UNION ALL SELECT conv_id, num, unnest(held) FROM mb QUALIFY segment_id = max(segment_id) OVER (PARTITION BY conv_id))
+SELECT conv_id, x.pos AS pos, segment_id FROM o""")
 def segment_mergeback(spark, sf_dir):
-    """Tiny segments joined to the one before; rewrites what it put out last, so it is tested against plain Python."""
+    """Tiny segments joined to the one before; a step may rewrite what was put out last."""
     d = folds.merge_tiny_segments(_segments(spark, sf_dir), KEY, least_gap=400, stop=".")
     return d.select("conv_id", "pos", "segment_id")
 
@@ -185,32 +201,40 @@ def cue_pairing(spark, sf_dir):
     return pairing.pair_lines(lines, KEY, least_gap=400, short=600, rate=0.008).select("conv_id", "line_id", "nth", "cue_id")
 
 
-@query(f"""WITH {_SUMMARY_SENTENCES}, cm AS (SELECT conv_id, sentence_id, pos, text, sum(length(text)) OVER k AS cum, sum(length(text)) OVER (PARTITION BY conv_id, sentence_id) AS tot, lead(pos) OVER k AS nxt FROM f WINDOW k AS (PARTITION BY conv_id, sentence_id ORDER BY pos)),
-bs AS (SELECT conv_id, sentence_id, arg_min(pos, abs(2 * cum - tot) * 1000000 + pos) AS b FROM cm WHERE nxt IS NOT NULL GROUP BY 1, 2)
+@query(f"""WITH {_SUMMARY_SENTENCES}, cm AS (SELECT conv_id, sentence_id, pos, text, NOT suffix(text, ',') AS plain, sum(length(text)) OVER k AS cum, sum(length(text)) OVER (PARTITION BY conv_id, sentence_id) AS tot, lead(pos) OVER k AS nxt FROM f WINDOW k AS (PARTITION BY conv_id, sentence_id ORDER BY pos)),
+bs AS (SELECT conv_id, sentence_id, arg_min(pos, struct_pack(a := plain, d := abs(2 * cum - tot), p := pos)) AS b FROM cm WHERE nxt IS NOT NULL GROUP BY 1, 2)
 SELECT conv_id, pos, CASE WHEN b IS NULL OR pos <= b THEN 0 ELSE 1 END AS line_no FROM cm LEFT JOIN bs USING (conv_id, sentence_id)""")
 def balanced_split(spark, sf_dir):
     d = islands.summary_sentences(timed_words(spark, sf_dir), KEY, 1000, ENDERS)
-    return pairing.balanced_split(d, ["conv_id", "sentence_id"]).select("conv_id", "pos", "line_no")
+    return pairing.balanced_split(d, ["conv_id", "sentence_id"], stop=",").select("conv_id", "pos", "line_no")
+
+
+@query(f"""WITH {_SUMMARY_SENTENCES}, cm AS (SELECT conv_id, sentence_id, pos, text, instr(text, ',') AS off, sum(length(text)) OVER k AS cum, sum(length(text)) OVER w AS tot, max(pos) OVER w AS final
+  FROM f WINDOW k AS (PARTITION BY conv_id, sentence_id ORDER BY pos), w AS (PARTITION BY conv_id, sentence_id)),
+st AS (SELECT conv_id, sentence_id, min(pos) AS b, arg_min(cum - length(text) + off, pos) AS place, any_value(tot) AS tot, any_value(final) AS final FROM cm WHERE off > 0 GROUP BY 1, 2)
+SELECT conv_id, cm.pos, CASE WHEN b IS NOT NULL AND place < st.tot AND b < st.final AND cm.pos > b THEN 1 ELSE 0 END AS line_no FROM cm LEFT JOIN st USING (conv_id, sentence_id)""")
+def midtext_stop_split(spark, sf_dir):
+    """Sentences cut behind the unit with their first comma."""
+    d = islands.summary_sentences(timed_words(spark, sf_dir), KEY, 1000, ENDERS)
+    return pairing.split_at_stop(d, ["conv_id", "sentence_id"], stop=",").select("conv_id", "pos", "line_no")
 
 
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10)))))::INT AS i FROM documents),
-w AS (SELECT *, string_split(t, ' ') AS w FROM l WHERE length(t) BETWEEN 1 AND 300),
-k AS (SELECT doc_id, i, t, unnest(range(1, len(w))) AS k, w FROM w WHERE len(w) > 1),
-c AS (SELECT doc_id, i, k, array_to_string(w[1:k], ' ') AS a, array_to_string(w[k + 1:], ' ') AS b FROM k),
-b AS (SELECT doc_id, i, arg_min(a || chr(10) || b, abs(length(a) - length(b)) * 100000 + k) AS r FROM c GROUP BY doc_id, i)
-SELECT doc_id, i, coalesce(r, t) AS balanced FROM w LEFT JOIN b USING (doc_id, i)""")
+w AS (SELECT doc_id, i, length(t) AS n, unnest(string_split(t, ' ')) AS word, generate_subscripts(string_split(t, ' '), 1) AS k FROM l),
+c AS (SELECT doc_id, i, n, k, sum(length(word) + 1) OVER (PARTITION BY doc_id, i ORDER BY k) - 1 AS upper, count(*) OVER (PARTITION BY doc_id, i) AS words FROM w),
+b AS (SELECT doc_id, i, arg_min(upper, struct_pack(d := abs(upper - (n - upper - 1)), k := k)) AS upper FROM c WHERE k < words GROUP BY doc_id, i)
+SELECT doc_id, i, CASE WHEN upper IS NULL THEN t ELSE substring(t, 1, upper::BIGINT) || chr(10) || substring(t, upper::BIGINT + 2) END AS balanced FROM l LEFT JOIN b USING (doc_id, i)""")
 def word_balance(spark, sf_dir):
-    """Lines of documents as two lines of nearly equal length."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).where("length(t) between 1 and 300")
+    """All lines of documents as two lines of nearly equal length."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
     return lines.select("doc_id", "i", S.balance_words(F.col("t")).alias("balanced"))
 
 
 @query(f"WITH {_SUMMARY_SENTENCES} SELECT conv_id, sentence_id, least(e + 500, lead(s) OVER (PARTITION BY conv_id ORDER BY sentence_id)) AS shown_until FROM ss")
 def cue_linger(spark, sf_dir):
     d = islands.summarise(islands.summary_sentences(timed_words(spark, sf_dir), KEY, 1000, ENDERS), ["conv_id", "sentence_id"])
-    shown = F.least(F.col("end") + 500, F.lead("start").over(islands.over(KEY, ("sentence_id",))))
-    return d.select("conv_id", "sentence_id", shown.alias("shown_until"))
+    return d.select("conv_id", "sentence_id", islands.linger(KEY, 500, ("sentence_id",)).alias("shown_until"))
 
 
 @query(f"""WITH {TIMED}, t AS (SELECT conv_id, pos, e / 1000.0::DOUBLE AS x FROM tv),
@@ -222,58 +246,73 @@ def srt_timecodes(spark, sf_dir):
     return d.withColumn("parsed", S.parse_timecode(F.col("code")))
 
 
-_BLOCKS = """bl AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS pos, text[1:60] AS text, count(*) OVER (PARTITION BY source) AS n FROM documents),
-ch AS (SELECT *, least(pos // z, 1000000)::INT AS chunk_id FROM (SELECT *, CASE WHEN n < 500 THEN 7 ELSE 7 END AS z FROM bl)),
-ck AS (SELECT source, chunk_id, min(pos) AS start_block, max(pos) + 1 AS end_block, count(*)::INT AS num_blocks FROM ch GROUP BY source, chunk_id)"""
+_BLOCKS = """bl AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10)))))::INT AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+bt AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN replace(line, ', ', ',' || chr(10)) ELSE line END AS text, count(*) OVER (PARTITION BY doc_id) AS n FROM bl),
+ch AS (SELECT *, (pos // 7)::INT AS chunk_id FROM bt),
+ck AS (SELECT doc_id, chunk_id, min(pos) AS start_block, max(pos) + 1 AS end_block, count(*)::INT AS num_blocks FROM ch GROUP BY doc_id, chunk_id)"""
 
 
 def _blocks(spark, sf_dir):
-    w = W.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("source", (F.row_number().over(w) - 1).cast("int").alias("pos"), F.substring("text", 1, 60).alias("text"))
+    """Lines of documents as blocks, whole; every third is broken at its commas."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return lines.withColumn("text", F.when(F.col("pos") % 3 == 0, F.replace("text", F.lit(", "), F.lit(",\n"))).otherwise(F.col("text")))
+
+
+@query("""WITH r AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey ELSE 10000000 + l_partkey END AS key, l_orderkey, l_linenumber FROM lineitem),
+p AS (SELECT key, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY key ORDER BY l_orderkey, l_linenumber) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM r)
+SELECT key, l_orderkey, l_linenumber, n AS n_blocks, (CASE WHEN n < 500 THEN pos // 50 ELSE pos // 100 END)::INT AS chunk_id FROM p""")
+def chunk_sizes(spark, sf_dir):
+    """Chunks of a hundred blocks, or of fifty where a key has under five hundred: suppliers' and parts' lines have both."""
+    key = F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey")).otherwise(F.lit(10_000_000) + F.col("l_partkey"))
+    d = table(spark, sf_dir, "lineitem").select(key.alias("key"), "l_orderkey", "l_linenumber")
+    d = d.withColumn("pos", F.row_number().over(W.partitionBy("key").orderBy("l_orderkey", "l_linenumber")) - 1)
+    return chunking.with_chunks(d, ["key"]).select("key", "l_orderkey", "l_linenumber", "n_blocks", "chunk_id")
 
 
 @query(f"""WITH {_BLOCKS},
-b AS (SELECT k.source, k.chunk_id, string_agg(c.text, '|' ORDER BY pos) AS t FROM ck k JOIN ch c ON c.source = k.source AND c.pos >= k.start_block - 5 AND c.pos < k.start_block GROUP BY 1, 2),
-a AS (SELECT k.source, k.chunk_id, string_agg(c.text, '|' ORDER BY pos) AS t FROM ck k JOIN ch c ON c.source = k.source AND c.pos >= k.end_block AND c.pos < k.end_block + 5 GROUP BY 1, 2),
-o AS (SELECT source, chunk_id, string_agg(replace(text, chr(10), ' '), '|' ORDER BY pos) AS t FROM ch GROUP BY 1, 2)
-SELECT source, chunk_id, start_block, end_block, num_blocks, coalesce(b.t, '') AS before_text, o.t AS core_text, coalesce(a.t, '') AS after_text FROM ck LEFT JOIN b USING (source, chunk_id) LEFT JOIN a USING (source, chunk_id) JOIN o USING (source, chunk_id)""")
+b AS (SELECT k.doc_id, k.chunk_id, string_agg(c.text, '|' ORDER BY pos) AS t FROM ck k JOIN ch c ON c.doc_id = k.doc_id AND c.pos >= k.start_block - 5 AND c.pos < k.start_block GROUP BY 1, 2),
+a AS (SELECT k.doc_id, k.chunk_id, string_agg(c.text, '|' ORDER BY pos) AS t FROM ck k JOIN ch c ON c.doc_id = k.doc_id AND c.pos >= k.end_block AND c.pos < k.end_block + 5 GROUP BY 1, 2),
+o AS (SELECT doc_id, chunk_id, string_agg(replace(text, chr(10), ' '), '|' ORDER BY pos) AS t FROM ch GROUP BY 1, 2)
+SELECT doc_id, chunk_id, start_block, end_block, num_blocks, coalesce(b.t, '') AS before_text, o.t AS core_text, coalesce(a.t, '') AS after_text FROM ck LEFT JOIN b USING (doc_id, chunk_id) LEFT JOIN a USING (doc_id, chunk_id) JOIN o USING (doc_id, chunk_id)""")
 def chunk_with_context(spark, sf_dir):
-    d = chunking.chunks_with_context(_blocks(spark, sf_dir), ["source"], size=7)
+    d = chunking.chunks_with_context(_blocks(spark, sf_dir), ["doc_id"], size=7)
     j = lambda c: F.array_join(c, "|")
-    return d.select("source", "chunk_id", "start_block", "end_block", "num_blocks", j("before").alias("before_text"), j("core").alias("core_text"), j("after").alias("after_text"))
+    return d.select("doc_id", "chunk_id", "start_block", "end_block", "num_blocks", j("before").alias("before_text"), j("core").alias("core_text"), j("after").alias("after_text"))
 
 
 def _returned(chunks: DataFrame) -> DataFrame:
     """What a worker gave back, here made up: nothing for chunk 1, the last block missing in every third chunk, dashes in some texts."""
     made = F.transform("core", lambda t, i: F.when(i % 4 == 0, F.concat(F.lit("- "), t, F.lit(" - "), F.reverse(t))).when(i % 4 == 1, F.concat(t, F.lit(" — "), t)).otherwise(F.concat(F.lit("<"), t, F.lit(">"))))
     cut = F.slice(made, F.lit(1), F.size(made) - F.when(F.col("chunk_id") % 3 == 2, 1).otherwise(0))
-    return chunks.where("chunk_id <> 1").select("source", "chunk_id", cut.alias("output"))
+    return chunks.where("chunk_id <> 1").select("doc_id", "chunk_id", cut.alias("output"))
 
 
 @query(f"""WITH {_BLOCKS}
-SELECT source, chunk_id, num_blocks, CASE WHEN chunk_id <> 1 THEN num_blocks - (chunk_id % 3 = 2)::INT END AS n_found, CASE WHEN chunk_id = 1 THEN 'missing' WHEN chunk_id % 3 = 2 THEN 'mismatch' ELSE 'ok' END AS state FROM ck""")
+SELECT doc_id, chunk_id, num_blocks, CASE WHEN chunk_id <> 1 THEN num_blocks - (chunk_id % 3 = 2)::INT END AS n_found, CASE WHEN chunk_id = 1 THEN 'missing' WHEN chunk_id % 3 = 2 THEN 'mismatch' ELSE 'ok' END AS state FROM ck""")
 def chunk_count_check(spark, sf_dir):
-    chunks = chunking.chunks_with_context(_blocks(spark, sf_dir), ["source"], size=7)
-    return chunking.check_chunks(chunks, _returned(chunks), ["source"])
+    chunks = chunking.chunks_with_context(_blocks(spark, sf_dir), ["doc_id"], size=7)
+    return chunking.check_chunks(chunks, _returned(chunks), ["doc_id"])
 
 
-_BALANCE = "(SELECT CASE WHEN len({w}) < 2 THEN {t} ELSE list_min(list_transform(range(1, len({w})), lambda k: struct_pack(d := abs(length(array_to_string({w}[1:k], ' ')) - length(array_to_string({w}[k + 1:], ' '))), k := k, r := array_to_string({w}[1:k], ' ') || chr(10) || array_to_string({w}[k + 1:], ' ')))).r END)"
+#: The blank nearest to the middle, that before it where both are as near, found on either side.
+_BALANCE = """(SELECT CASE WHEN instr(x, ' ') = 0 THEN x ELSE substring(x, 1, upper) || chr(10) || substring(x, upper + 2) END FROM (SELECT x, CASE WHEN b > 0 AND (r = 0 OR abs(2 * (h - b) + 1 - n) <= abs(2 * (h + r - 1) + 1 - n)) THEN h - b ELSE h + r - 1 END AS upper
+  FROM (SELECT x, n, h, instr(reverse(substring(x, 1, h)), ' ') AS b, instr(substring(x, h + 1), ' ') AS r FROM (SELECT x, length(x) AS n, (length(x) + 1) // 2 AS h FROM (SELECT {t} AS x)))))"""
 
 
 @query(f"""WITH {_BLOCKS},
-g AS (SELECT *, replace(text, chr(10), ' ') AS c, pos - (chunk_id * 7) AS i FROM ch JOIN ck USING (source, chunk_id)),
+g AS (SELECT *, replace(text, chr(10), ' ') AS c, pos - (chunk_id * 7) AS i FROM ch JOIN ck USING (doc_id, chunk_id)),
 m AS (SELECT *, CASE WHEN chunk_id = 1 OR (chunk_id % 3 = 2 AND i = num_blocks - 1) THEN '' WHEN i % 4 = 0 THEN '- ' || c || ' - ' || reverse(c) WHEN i % 4 = 1 THEN c || ' — ' || c ELSE '<' || c || '>' END AS x FROM g),
-e AS (SELECT source, pos, text, replace(x, ' — ', chr(10)) AS t FROM m),
-r AS (SELECT source, pos, CASE WHEN starts_with(t, '- ') AND contains(t[3:], ' - ') THEN replace(t, ' - ', chr(10) || '- ')
-  WHEN contains(text, chr(10)) AND NOT contains(t, chr(10)) THEN {_BALANCE.format(w="string_split(t, ' ')", t="t")} ELSE t END AS t FROM e),
-l AS (SELECT source, pos, unnest(string_split(t, chr(10))) AS x, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM r),
+e AS (SELECT doc_id, pos, text, replace(x, ' — ', chr(10)) AS t FROM m),
+r AS (SELECT doc_id, pos, CASE WHEN starts_with(t, '- ') AND contains(t[3:], ' - ') THEN replace(t, ' - ', chr(10) || '- ')
+  WHEN contains(text, chr(10)) AND NOT contains(t, chr(10)) THEN {_BALANCE.format(t="t")} ELSE t END AS t FROM e),
+l AS (SELECT doc_id, pos, unnest(string_split(t, chr(10))) AS x, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM r),
 d AS (SELECT *, CASE WHEN starts_with(x, '- ') THEN x[3:] ELSE x END AS y FROM l),
-z AS (SELECT source, pos, i, CASE WHEN length(x) > 50 THEN CASE WHEN starts_with(x, '- ') THEN '- ' ELSE '' END || {_BALANCE.format(w="string_split(y, ' ')", t="y")} ELSE x END AS x FROM d)
-SELECT source, pos, string_agg(x, chr(10) ORDER BY i) AS text FROM z GROUP BY source, pos""")
+z AS (SELECT doc_id, pos, i, CASE WHEN length(x) > 50 THEN CASE WHEN starts_with(x, '- ') THEN '- ' ELSE '' END || {_BALANCE.format(t="y")} ELSE x END AS x FROM d)
+SELECT doc_id, pos, string_agg(x, chr(10) ORDER BY i) AS text FROM z GROUP BY doc_id, pos""")
 def reassembly_repair(spark, sf_dir):
     blocks = _blocks(spark, sf_dir)
-    chunks = chunking.chunks_with_context(blocks, ["source"], size=7)
-    return chunking.reassemble(blocks, chunks, _returned(chunks), ["source"]).select("source", "pos", "text")
+    chunks = chunking.chunks_with_context(blocks, ["doc_id"], size=7)
+    return chunking.reassemble(blocks, chunks, _returned(chunks), ["doc_id"]).select("doc_id", "pos", "text")
 
 
 _TOPICS = """tp AS (SELECT d.source, (row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id))::INT AS p, count(*) OVER (PARTITION BY d.source)::INT AS n, coalesce(l.quality, 0) AS q, l.doc_id AS has FROM documents d LEFT JOIN labels l USING (doc_id))"""
@@ -319,21 +358,34 @@ def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.slug(u).alias("slug"), S.path_mark(u).alias("mark"), S.stable_id(u).alias("id"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) || CASE page_id % 3 WHEN 0 THEN '.en' WHEN 1 THEN '.JA' ELSE '.raw' END AS stem FROM pages)
-SELECT page_id, CASE WHEN lower(regexp_extract(stem, '\\.([^.]+)$', 1)) IN ('en', 'ja') THEN regexp_replace(stem, '\\.[^.]+$', '') ELSE stem END AS stem FROM p""".replace("\\\\", "\\"))
+_ENDINGS = "ja jp ko zh zh-hans zh-hant zh-cn zh-tw en es pt pt-br fr de it ru ar hi th vi id tr pl nl sv JA Zh-Hant jpn eng kor zho deu fra spa raw act".split()
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, {_ENDINGS}[(page_id % {len(_ENDINGS)} + 1)::INT] AS ending FROM pages),
+q AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '.' || ending WHEN 1 THEN ending ELSE host || '.' || ending END AS stem, ending FROM p)
+SELECT page_id, CASE WHEN page_id % 5 = 1 OR lower(ending) IN ('jpn', 'eng', 'kor', 'zho', 'deu', 'fra', 'spa', 'raw', 'act') THEN stem ELSE left(stem, length(stem) - length(ending) - 1) END AS stem FROM q""")
 def lang_suffix_strip(spark, sf_dir):
-    ends = F.when(F.col("page_id") % 3 == 0, ".en").when(F.col("page_id") % 3 == 1, ".JA").otherwise(".raw")
-    stem = F.concat(F.regexp_extract("url", "//([^/]+)", 1), ends)
+    """Names with every language code, some of other kinds, alone and behind a host's name."""
+    ending = F.element_at(F.lit(_ENDINGS), (F.col("page_id") % len(_ENDINGS) + 1).cast("int"))
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    stem = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("."), ending)).when(F.col("page_id") % 5 == 1, ending).otherwise(F.concat(host, F.lit("."), ending))
     return table(spark, sf_dir, "pages").select("page_id", S.strip_language(stem).alias("stem"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, '(' || text[1:20] || ')' || '{x}' || text[21:200] AS t FROM documents),
-a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\{[^}]*\}', '', 'g'), '\\[Nn]', '', 'g') AS t FROM t),
-b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\([^()]*\)', '', 'g'), '\([^()]*\)', '', 'g'), '\([^()]*\)', '', 'g'), '\([^()]*\)', '', 'g') AS t FROM a),
+_PASS = r"regexp_replace({}, '\([^()]*\)', '', 'g')"
+_PASSES = "t"
+for _ in range(9):
+    _PASSES = _PASS.format(_PASSES)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, '((a(b((c(' || text[1:20] || '))d)))e)' || '{{x}}' || text[21:] || '(' || '\N' || '）' AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\{{[^}}]*\}}', '', 'g'), '\\[Nn]', '', 'g') AS t FROM t),
+b AS (SELECT doc_id, {_PASSES} AS t FROM a),
 c AS (SELECT doc_id, length(regexp_replace(t, '\s+', '', 'g'))::INT AS chars FROM b)
 SELECT doc_id, chars, CASE WHEN chars >= 2 THEN greatest(0.5::DOUBLE, chars * 0.06::DOUBLE) END AS pause FROM c""")
 def visible_chars_pause(spark, sf_dir):
-    t = F.concat(F.lit("("), F.substring("text", 1, 20), F.lit("){x}"), F.substring("text", 21, 180))
+    """Whole texts, their first words within brackets nested seven deep, a bracket without a partner behind them."""
+    t = F.concat(F.lit("((a(b((c("), F.substring("text", 1, 20), F.lit("))d)))e){x}"), F.substring("text", 21, 1 << 30), F.lit("(\\N）"))
     d = table(spark, sf_dir, "documents").select("doc_id", S.visible_chars(t).alias("chars"))
     return d.withColumn("pause", S.pause(F.col("chars")))
 
@@ -342,10 +394,8 @@ def visible_chars_pause(spark, sf_dir):
 SELECT stem, page_id, n FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY pr, page_id) AS rn, count(*) OVER (PARTITION BY stem) AS n FROM p) WHERE rn = 1""")
 def source_priority(spark, sf_dir):
     """The preferred page of each host and how many there are."""
-    w = W.partitionBy("stem")
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("stem"), F.when(F.col("url").startswith("https"), 0).otherwise(1).alias("pr"))
-    p = p.withColumn("rn", F.row_number().over(w.orderBy("pr", "page_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return p.where("rn = 1").select("stem", "page_id", "n")
+    return files.preferred(p, ["stem"], ["pr", "page_id"]).select("stem", "page_id", "n")
 
 
 @query(f"""WITH {_GROUPS} SELECT conv_id, g AS group_id, string_agg(text, '' ORDER BY pos) AS text, arg_min(s, pos) AS start_ms, arg_max(e, pos) AS end_ms, arg_max(e, pos) - arg_min(s, pos) AS duration, sum(length(text))::BIGINT AS chars, count(DISTINCT speaker) AS n_speakers FROM gr GROUP BY conv_id, g""")

@@ -17,6 +17,6 @@ LINE_CHARS, TINY_CHARS = 18, 8
 COMMA_TOKENS, COMMA_NEXT, COMMA_KEEP, GROUP_TOKENS = 5, 2, 7, 20
 WINDOW, CORE, TILE = 40, 25, 5
 CHUNK_BLOCKS, SMALL_CHUNK, SMALL_FILE, CONTEXT_BLOCKS = 100, 50, 500, 5
-LONG_LINE = 50
-LANGUAGE_CODES = ("ja", "jpn", "en", "eng", "ko", "kor", "zh", "zho", "de", "deu", "fr", "fra", "es", "spa", "it", "ita", "pt", "por", "ru", "rus")
+LONG_LINE, MANY_WINDOWS = 50, 40
+LANGUAGE_CODES = tuple(sorted("ar de en es fr hi id it ja jp ko nl pl pt pt-br ru sv th tr vi zh zh-cn zh-hans zh-hant zh-tw".split()))
 STARTER_POS = ("名詞", "動詞", "形容詞", "形状詞", "副詞", "連体詞", "接続詞", "感動詞", "代名詞")

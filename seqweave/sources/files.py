@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from ..operators import islands
 from ..schema import PROVIDER, SENTENCE_ENDERS, TRANSCRIPT
 
-_ARROW = r"^\s*(\d+:\d+:\d+[,.]\d+)\s*-->\s*(\d+:\d+:\d+[,.]\d+)"
-
 
 def read_transcripts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Canonical transcript documents as rows of words."""
@@ -77,16 +76,16 @@ def read_blocks(spark: SparkSession, paths: str | Sequence[str], validate: bool
 
 
 def parse_blocks(files: DataFrame, validate: bool = True) -> DataFrame:
-    """Blocks of (transcript_id, value)."""
+    """Blocks of (transcript_id, value): parted by empty lines, a line of blanks is none; time lines are read as S.parse_times does."""
     text = F.replace(F.regexp_replace("value", "^﻿", ""), F.lit("\r\n"), F.lit("\n"))
-    blocks = files.select("transcript_id", F.posexplode(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\n\s*\n")).alias("at", "b"))
-    lines = blocks.select("transcript_id", "at", F.split("b", "\n").alias("l")).where("size(l) >= 2")
+    blocks = files.select("transcript_id", F.posexplode(F.split(S.strip(text), r"\n\n+")).alias("at", "b"))
+    lines = blocks.select("transcript_id", "at", F.split(S.strip(F.col("b")), "\n").alias("l")).where("size(l) >= 2")
     body = F.slice("l", F.lit(3), F.greatest(F.size("l") - 2, F.lit(0)))
-    part = lambda i: S.parse_timecode(F.regexp_extract(F.element_at("l", 2), _ARROW, i))
+    start, end = S.parse_times(F.element_at("l", 2))
     full = F.array_join(body, "\n")
     if validate:
         full = F.array_join(F.filter(F.transform(body, S.strip), lambda x: x != ""), " ")
-    d = lines.select("transcript_id", "at", F.trim(F.element_at("l", 1)).alias("index"), F.trim(F.element_at("l", 2)).alias("timecode"), part(1).alias("start"), part(2).alias("end"), full.alias("text"), F.size(body).alias("n_lines"))
+    d = lines.select("transcript_id", "at", S.strip(F.element_at("l", 1)).alias("index"), S.strip(F.element_at("l", 2)).alias("timecode"), start.alias("start"), end.alias("end"), full.alias("text"), F.size(body).alias("n_lines"))
     if validate:
         d = d.where("start is not null and end is not null")
     pos = (F.row_number().over(W.partitionBy("transcript_id").orderBy("at")) - 1).cast("int")
@@ -114,3 +113,31 @@ def with_context(cards: DataFrame, prefix: str | Column) -> DataFrame:
 
 def repeated_inputs(files: DataFrame, path: str = "path") -> DataFrame:
     return files.groupBy(path).count().where("count > 1")
+
+
+def sentences(words: DataFrame) -> DataFrame:
+    """Sentences for summaries from rows of words: transcript_id, pos, timecode, start, end, text; those of blanks alone are dropped."""
+    key = ["transcript_id"]
+    spoken = words.where("type = 'word'")
+    runs = islands.summarise(islands.summary_sentences(spoken, key), [*key, "sentence_id"]).withColumn("text", S.strip(F.col("text"))).where("text <> ''")
+    pos = (F.row_number().over(W.partitionBy(*key).orderBy("sentence_id")) - 1).cast("int")
+    code = F.concat(S.rounded_timecode(F.col("start")), F.lit(" --> "), S.rounded_timecode(F.col("end")))
+    return runs.withColumn("pos", pos).select(*key, "pos", code.alias("timecode"), "start", "end", "text")
+
+
+def read_sentences(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Sentences of transcripts and subtitle files: a path that ends with .json is read as the first, any other as the second."""
+    by_kind = {True: [p for p in paths if p.lower().endswith(".json")], False: [p for p in paths if not p.lower().endswith(".json")]}
+    columns = ["transcript_id", "pos", "timecode", "start", "end", "text"]
+    parts = [sentences(read_transcripts(spark, by_kind[True]))] if by_kind[True] else []
+    parts += [read_blocks(spark, by_kind[False]).select(*columns)] if by_kind[False] else []
+    if not parts:
+        raise ValueError("no paths to read")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def preferred(files: DataFrame, key: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The first row of each key in ``order``, with ``n``, the number of rows it was chosen from."""
+    w = W.partitionBy(*key)
+    d = files.withColumn("__rn", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(w))
+    return d.where("__rn = 1").drop("__rn")

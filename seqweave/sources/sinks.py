@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from ..operators.islands import linger as shown_until
 from ..operators.islands import over, text_of
 from ..schema import LINGER
 
@@ -27,7 +28,7 @@ def cue_lines(units: DataFrame, key: Sequence[str], stops: bool = True) -> DataF
 def srt_text(cues: DataFrame, key: Sequence[str], linger=LINGER) -> DataFrame:
     """The key and ``block``, ``value``: subtitle blocks numbered from 1, shown a little longer where there is room."""
     w = over(key, ("cue_id",))
-    end = F.least(F.col("end") + linger, F.lead("start").over(w))
+    end = shown_until(key, linger, ("cue_id",))
     n = F.row_number().over(w)
     value = F.concat(n.cast("string"), F.lit("\n"), S.timecode(F.col("start")), F.lit(" --> "), S.timecode(end), F.lit("\n"), S.speaker_lines(F.col("lines"), F.col("n_speakers")), F.lit("\n"))
     return cues.select(*key, n.alias("block"), value.alias("value"))
@@ -82,6 +83,26 @@ def write_chunks(rendered: DataFrame, chunks: DataFrame, blocks: DataFrame, path
     chunks.select(*key, "chunk_id", "start_block", "end_block", "num_blocks").write.mode("overwrite").json(f"{path}/chunks")
     two = F.instr(F.coalesce("text", F.lit("")), "\n") > 0
     blocks.select(*key, "pos", "index", "timecode", two.alias("two_lines")).write.mode("overwrite").json(f"{path}/metadata")
+    two_line_blocks(blocks, key).write.mode("overwrite").json(f"{path}/original_line_counts")
+
+
+def two_line_blocks(blocks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The places of each key's blocks of two lines or more, in order."""
+    two = F.instr(F.coalesce("text", F.lit("")), "\n") > 0
+    return blocks.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(two, F.col("pos")))).alias("two_line_blocks"))
+
+
+def cue_listing(cues: DataFrame, key: Sequence[str]) -> DataFrame:
+    """A line for each cue to look over: number, times, length, characters, lines, speaker, texts."""
+    n = F.row_number().over(over(key, ("cue_id",)))
+    chars = F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))
+    value = F.format_string("Cue %4d  %8.2f-%8.2f  %5.1fs  %3dch  %dL  [%s]  %s", n, F.col("start"), F.col("end"), F.col("end") - F.col("start"), chars, F.size("lines"), F.col("speaker"), F.array_join("lines", " / "))
+    return cues.select(*key, n.alias("block"), value.alias("value"))
+
+
+def card_counts(cards: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """n_cards, and n_media: their sound files and images, each as often as a card shows it."""
+    return cards.groupBy(*key).agg(F.count(F.lit(1)).alias("n_cards"), F.sum(F.when(F.col("image") != "", 2).otherwise(1)).cast("long").alias("n_media"))
 
 
 def write_cards(cards: DataFrame, path: str) -> None:
@@ -91,4 +112,4 @@ def write_cards(cards: DataFrame, path: str) -> None:
 def notes(cards: DataFrame, deck: str) -> DataFrame:
     """Deck rows: stable ids of deck and model, and the four fields of a note; packing them is left to the caller."""
     d = F.lit(deck)
-    return cards.select(S.stable_id(d).alias("deck_id"), S.stable_id(F.concat(d, F.lit(" model"))).alias("model_id"), F.concat(F.lit("[sound:"), F.col("audio"), F.lit("]")).alias("Audio"), F.when(F.col("image") != "", F.concat(F.lit("<img src='"), F.col("image"), F.lit("'>"))).otherwise("").alias("Image"), F.col("text").alias("Text"), F.col("context").alias("Context"))
+    return cards.select(S.stable_id(d).alias("deck_id"), S.stable_id(F.concat(d, F.lit("_model"))).alias("model_id"), F.concat(F.lit("[sound:"), F.col("audio"), F.lit("]")).alias("Audio"), F.when(F.col("image") != "", F.concat(F.lit('<img src="'), F.col("image"), F.lit('">'))).otherwise("").alias("Image"), F.col("text").alias("Text"), F.col("context").alias("Context"))
