@@ -46,14 +46,14 @@ def parse_answer(raw: Column, n: Column) -> tuple[Column, Column]:
     typed = strict.isNotNull() & ~F.exists(strict, lambda c: c["start"].isNull() | c["end"].isNull())
     bare = F.exists(loose, lambda c: ~c["start"].rlike(r"^-?[0-9]+$") | ~c["end"].rlike(r"^-?[0-9]+$"))
     ordered = F.array_sort(strict)
-    follows = F.transform(ordered, lambda c, i: F.struct(c["start"].alias("start"), F.coalesce(F.try_element_at(ordered, i)["end"], F.lit(0)).alias("before"), i.alias("i")))
+    follows = F.transform(ordered, lambda c, i: F.struct(c["start"].alias("start"), F.coalesce(F.get(ordered, i - 1)["end"], F.lit(0)).alias("before"), i.alias("i")))
     problem = (
-        F.when(loose.isNull() | (F.size(loose) <= 0) | F.exists(loose, lambda c: c.isNull()), "not an array of objects")
+        F.when(~F.startswith(body, F.lit("[")) | loose.isNull() | (F.size(loose) <= 0) | F.exists(loose, lambda c: c.isNull()), "not an array of objects")
         .when(missing, "missing key").when(~typed | bare, "not whole numbers").when(F.exists(strict, lambda c: c["start"] > c["end"]), "reversed")
         .when(F.exists(strict, lambda c: strip(c["summary"]) == ""), "blank").when(F.try_element_at(ordered, F.lit(1))["start"] != 1, "first is not 1")
         .when(F.exists(follows, lambda c: (c["i"] > 0) & (c["start"] <= c["before"])), "overlap").when(F.try_element_at(ordered, F.lit(-1))["end"] > n, "outside")
     )
-    closed = F.transform(ordered, lambda c, i: F.struct(c["start"].alias("start"), F.coalesce(F.try_element_at(ordered, i + 2)["start"] - 1, n).cast("int").alias("end"), c["summary"].alias("summary")))
+    closed = F.transform(ordered, lambda c, i: F.struct(c["start"].alias("start"), F.coalesce(F.get(ordered, i + 1)["start"] - 1, n).cast("int").alias("end"), c["summary"].alias("summary")))
     return F.when(problem.isNull(), closed), problem
 
 

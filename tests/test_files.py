@@ -42,6 +42,31 @@ def test_blocks_strict_and_lenient(spark, tmp_path):
     assert sources.read_blocks(spark, str(tmp_path / "b.srt"), validate=False).count() == 3
 
 
+def test_sentences_of_mixed_inputs(spark, tmp_path):
+    doc = {"language_code": "jpn", "text": "", "words": [word("はい。", 0.0, 0.5), word(" ", 0.6, 0.7), word("いえ", 2.0, 2.5)]}
+    (tmp_path / "a.JSON").write_text(json.dumps(doc))
+    (tmp_path / "b.srt").write_text("1\n00:00:01,000 --> 00:00:02\nx\ny\n\n2\n00:00:03 --> 00:00:04\nz\n")
+    got = sources.read_sentences(spark, [str(tmp_path / "a.JSON"), str(tmp_path / "b.srt")]).collect()
+    assert sorted((r.text, r.start, r.end) for r in got) == [("x y", 1.0, 2.0), ("z", 3.0, 4.0), ("いえ", 2.0, 2.5), ("はい。", 0.0, 0.5)]
+    assert {r.timecode for r in got if r.text == "いえ"} == {"00:00:02,000 --> 00:00:02,500"}
+
+
+def test_chunk_files_and_transcripts(spark, tmp_path):
+    from seqweave.operators import chunking
+
+    blocks = spark.createDataFrame([("t", i, str(i + 1), "00:00:01,000 --> 00:00:02,000", "a\nb" if i == 2 else f"x{i}") for i in range(5)], "transcript_id string, pos int, index string, timecode string, text string")
+    key = ["transcript_id"]
+    chunks = chunking.chunks_with_context(blocks, key, size=2, context=1)
+    rendered = chunks.select("transcript_id", "chunk_id", chunking.render_chunk(F.col("before"), F.col("core"), F.col("after")).alias("value"))
+    sinks.write_chunks(rendered, chunks, blocks, str(tmp_path / "c"), key)
+    back = spark.read.json(str(tmp_path / "c" / "original_line_counts")).first()
+    assert back.two_line_blocks == [2] and spark.read.json(str(tmp_path / "c" / "metadata")).count() == 5
+    assert spark.read.json(str(tmp_path / "c" / "chunks")).agg(F.sum("num_blocks")).first()[0] == 5
+    docs = spark.createDataFrame([("jpn", 0.9, "t", "id", [])], "language_code string, language_probability double, text string, transcription_id string, words array<struct<text:string,start:double,end:double,type:string,speaker_id:string,logprob:double>>")
+    sinks.write_transcripts(docs, str(tmp_path / "t"))
+    assert spark.read.json(str(tmp_path / "t")).first().transcription_id == "id"
+
+
 def test_provider_tokens(spark):
     rows = [("t", None, [(" area", 500, 900, None, 0.0, False), ("x", 900, 1000, "2", 0.5, False), (" ", 1000, 1000, "2", None, False), ("[laugh]", 1000, 1500, None, None, True)])]
     d = spark.createDataFrame(rows, "transcript_id string, text string, tokens array<struct<text:string,start_ms:bigint,end_ms:bigint,speaker:string,confidence:double,is_audio_event:boolean>>")

@@ -40,6 +40,9 @@ L = F.lit
         (lambda: S.strip_language(L("ja")), "ja"),
         (lambda: S.visible_chars(L("（笑）はい")), 2),
         (lambda: S.visible_chars(L("a(b(c)d)e")), 2),
+        (lambda: S.visible_chars(L("a((((((((((x))))))))))b(c")), 4),
+        (lambda: S.visible_chars(L("（a三b）はい（笑）")), 7),  # a byte of 三 is one of the wide bracket's
+        (lambda: S.visible_chars(L("{x}a\\Nb \u3000")), 3),
         (lambda: S.pause(L(2)), 0.5),
         (lambda: S.pause(L(1)), None),
         (lambda: F.round(S.pause(L(10)), 6), 0.6),
@@ -56,6 +59,15 @@ L = F.lit
         (lambda: S.speaker_lines(F.array(L("a"), L("b")), L(1)), "a\nb"),
         (lambda: S.strip(L("　 a　")), "a"),
         (lambda: S.episode(L("Show E07.srt")), "07"),
+        (lambda: S.episode(L("Show - 01 - 12.mp4")), "12"),
+        (lambda: S.episode(L("Show E07")), ""),
+        (lambda: S.strip_language(L("ep.zh-Hant")), "ep"),
+        (lambda: S.strip_language(L("ep.jpn")), "ep.jpn"),
+        (lambda: S.strip_language(L(".en")), ""),
+        (lambda: S.parse_times(L("00:00:01,5 --> 00:00:02"))[1], 2.0),
+        (lambda: S.parse_times(L("00:00:01,5-->00:00:02"))[0], None),
+        (lambda: S.parse_times(L("00:00:01,5 --> 00:00:02 X1"))[0], None),
+        (lambda: S.numbered(F.array(L("a"), L("b"))), "1. a\n2. b"),
         (lambda: S.clock(L(3661.5)), "1:01:01.500"),
     ],
 )
