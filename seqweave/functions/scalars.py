@@ -33,6 +33,22 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%d:%02d:%06.3f", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60).cast("int"), seconds % 60)
 
 
+def printed(x: Column, digits: int) -> Column:
+    """A value from 0 on, rounded to ``digits`` places by what the double holds exactly, ties to even, as C prints it.
+
+    The JVM rounds the shortest decimal that names the double instead. The product with 2 * 10 ** digits is taken without
+    an error, in two parts, and compared with the odd number that lies half-way.
+    """
+    m = 2.0 * 10**digits
+    c = x * 134217729.0
+    high = c - (c - x)
+    whole = x * m
+    rest = (high * m - whole) + (x - high) * m
+    n = F.floor(x * (m / 2))
+    over_half = (whole - (2 * n + 1)) + rest
+    return (n + F.when((over_half > 0) | ((over_half == 0) & (n % 2 == 1)), 1).otherwise(0)) / (m / 2)
+
+
 def timecode(seconds: Column) -> Column:
     """HH:MM:SS,mmm with milliseconds cut off, as cue files are written."""
     whole = F.floor(seconds)

@@ -96,7 +96,7 @@ def cue_listing(cues: DataFrame, key: Sequence[str]) -> DataFrame:
     """A line for each cue to look over: number, times, length, characters, lines, speaker, texts."""
     n = F.row_number().over(over(key, ("cue_id",)))
     chars = F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))
-    value = F.format_string("Cue %4d  %8.2f-%8.2f  %5.1fs  %3dch  %dL  [%s]  %s", n, F.col("start"), F.col("end"), F.bround(F.col("end") - F.col("start"), 1), chars, F.size("lines"), F.col("speaker"), F.array_join("lines", " / "))
+    value = F.format_string("Cue %4d  %8.2f-%8.2f  %5.1fs  %3dch  %dL  [%s]  %s", n, S.printed(F.col("start"), 2), S.printed(F.col("end"), 2), S.printed(F.col("end") - F.col("start"), 1), chars, F.size("lines"), F.col("speaker"), F.array_join("lines", " / "))
     return cues.select(*key, n.alias("block"), value.alias("value"))
 
 

@@ -98,3 +98,12 @@ def test_lines_are_balanced_at_any_length(spark):
     long, began = "word " * 50_000 + "end", time.perf_counter()
     top, bottom = spark.createDataFrame([(long,)], "t string").select(S.balance_words(F.col("t"))).first()[0].split("\n")
     assert f"{top} {bottom}" == long and abs(len(top) - len(bottom)) <= 5 and time.perf_counter() - began < 10
+
+
+def test_doubles_are_printed_as_c_prints_them(spark):
+    import random
+
+    rng = random.Random(6)
+    xs = [0.0, 0.25, 0.75, 1.15, 3.45, 6.55, 2.675, 1.005, 0.125, 99.995] + [rng.randrange(10**6) / 1000 for _ in range(3000)] + [rng.random() * 5000 for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", S.printed(F.col("x"), 1).alias("a"), S.printed(F.col("x"), 2).alias("b")).collect()
+    assert all(r.a == float(f"{r.x:.1f}") and r.b == float(f"{r.x:.2f}") for r in got)
