@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -235,11 +235,15 @@ def remove_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     stay as often as they stand. Columns may have any names.
     """
     names = df.columns
-    mark, nth, other_id = free_name(names, "__mark"), free_name(names, "__nth"), free_name(names, "__doc")
+    mark, nth, known, none = (free_name(names, c) for c in ("__mark", "__nth", "__known", "__none"))
     wordless = ~F.coalesce(F.col(text).rlike(WORD), F.lit(False))
-    stay = near_groups(df, doc_id, text, radius).where("kept and group_id is not null or kept and doc_id is null").select(F.col("doc_id").alias(other_id), F.col("mark").alias(mark)).distinct()
-    marked = df.where(~wordless).withColumn(mark, F.xxhash64(F.col(text)))
-    same = marked[doc_id].cast("long").eqNullSafe(stay[other_id]) & (marked[mark] == stay[mark])
-    named = marked.join(stay, same, "left_semi")
-    alone = named.withColumn(nth, F.row_number().over(W.partitionBy(F.col(doc_id), F.col(mark)).orderBy(F.lit(0)))).where(F.col(nth) == 1)
+
+    def keyed(rows: DataFrame, ident: Column, hashed: Column) -> DataFrame:
+        """With doc_id as two columns without nulls, so that the join and the count of equal rows share one exchange."""
+        return rows.withColumns({known: F.coalesce(ident.cast("long"), F.lit(0)), none: ident.isNull(), mark: hashed})
+
+    groups = near_groups(df, doc_id, text, radius).where("kept and group_id is not null or kept and doc_id is null")
+    stay = keyed(groups.select(F.col("doc_id").alias("i"), F.col("mark").alias("m")), F.col("i"), F.col("m")).select(known, none, mark).distinct()
+    named = keyed(df.where(~wordless), F.col(doc_id), F.xxhash64(F.col(text))).join(stay, [known, none, mark], "left_semi")
+    alone = named.withColumn(nth, F.row_number().over(W.partitionBy(known, none, mark).orderBy(F.lit(0)))).where(F.col(nth) == 1)
     return alone.select(*names).unionByName(df.where(wordless))
