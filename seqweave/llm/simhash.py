@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from hashlib import md5
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -63,15 +64,25 @@ def fingerprint_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.mapInArrow(make, "doc_id long, mark long, hi long, lo long")
 
 
+#: What the matches of evenly spread values cost, in lookups: a match's distance takes some 2.5, and the values met are twice as full.
+MATCH = 5
+
+
 def segment_plan(n: int, radius: int) -> tuple[list[tuple[int, int]], list[int]]:
     """(first bit, width) of each segment and the radius of its ball; wider segments for more fingerprints.
 
     The result doesn't depend on the plan; it only balances the ball's size against the matches a value has.
     """
-    m = next((m for m in (8, 7, 6, 5) if n < 1 << (BITS // m + 4)), 4)
-    edges = [BITS * i // m for i in range(m + 1)]
-    a, b = divmod(radius, m)
-    return [(edges[i], edges[i + 1] - edges[i]) for i in range(m)], [a if i <= b else a - 1 for i in range(m)]
+
+    def plan(m: int) -> tuple[list[tuple[int, int]], list[int]]:
+        edges = [BITS * i // m for i in range(m + 1)]
+        a, b = divmod(radius, m)
+        return [(edges[i], edges[i + 1] - edges[i]) for i in range(m)], [a if i <= b else a - 1 for i in range(m)]
+
+    def cost(m: int) -> float:
+        return sum(ball_size(w, r) * (1 + MATCH * n / 2**w) for (_, w), r in zip(*plan(m)))
+
+    return plan(min((8, 7, 6, 5, 4), key=cost))
 
 
 def bit_range(prints: np.ndarray, first: int, width: int) -> np.ndarray:
@@ -90,45 +101,106 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def pairs_within(prints: np.ndarray, plan: tuple, s: int, radius: int, own: np.ndarray, block: int = 1 << 21):
-    """Index pairs within ``radius`` that segment ``s`` finds, each pair of asking rows once, in blocks.
-
-    ``own`` marks the rows that ask; every row is in the table.
+def ball_size(width: int, radius: int) -> int:
+    return sum(comb(width, r) for r in range(radius + 1))
+
+
+class Buckets:
+    """Fingerprints sorted by a value of ``width`` bits, and where each value's rows begin and end."""
+
+    def __init__(self, prints: np.ndarray, values: np.ndarray, width: int):
+        self.order = np.argsort(values, kind="stable")
+        self.values = values[self.order]
+        self.words = [np.ascontiguousarray(prints[self.order, k]) for k in range(2)]
+        self.distinct, at = np.unique(self.values, return_index=True)
+        self.edges = np.append(at, len(values))
+        # tables of all values while they are not much larger than the fingerprints; the first one is small and tells most misses
+        self.here = self.table = None
+        if width <= 24 and 1 << width <= 32 * len(values) + (1 << 16):
+            self.here = np.zeros(1 << width, bool)
+            self.here[self.distinct] = True
+            self.table = np.zeros((1 << width) + 1, np.int32)
+            np.cumsum(np.bincount(self.values, minlength=1 << width), out=self.table[1:])
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the values are there, and each one's first row and number of rows."""
+        if self.here is not None:
+            hit = np.flatnonzero(self.here[wanted])
+            there = wanted[hit]
+            begin = self.table[there]
+            return hit, begin, self.table[there + 1] - begin
+        at = np.minimum(np.searchsorted(self.distinct, wanted), len(self.distinct) - 1)
+        hit = np.flatnonzero(self.distinct[at] == wanted)
+        at = at[hit]
+        return hit, self.edges[at], self.edges[at + 1] - self.edges[at]
+
+
+def pairs_within(prints: np.ndarray, plan: tuple, s: int, radius: int, own: np.ndarray, block: int = 1 << 16, prefix: int = 0):
+    """Index pairs within ``radius`` that segment ``s`` finds, in blocks: pairs of all rows if all are ``own``, else of own ones with others.
+
+    Own rows agree in the first ``prefix`` bits of the segment, and so do the others. A pair is met once, from the row that
+    lacks the highest bit in which their values differ. Rows lie sorted by value, so both sides of a mask are read in runs.
     """
     (first, width), r = plan[0][s], plan[1][s]
-    values = bit_range(prints, first, width)
-    order = np.argsort(values, kind="stable")
-    table, at = np.unique(values[order], return_index=True)
-    ends = np.append(at[1:], len(values))
-    dense = width <= 22
-    if dense:
-        slot = np.full(1 << width, -1, np.int32)
-        slot[table] = np.arange(len(table), dtype=np.int32)
-    asking = np.flatnonzero(own)
-    for mask in ball(width, r) if r >= 0 else ():
-        wanted = values[asking] ^ mask
-        if dense:
-            hit = slot[wanted]
-        else:
-            hit = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-            hit[table[hit] != wanted] = -1
-        who = asking[hit >= 0]
-        hit = hit[hit >= 0]
-        sizes = ends[hit] - at[hit]
-        total = np.cumsum(sizes)
-        start = 0
-        while start < len(who):
-            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + block, "right")))
-            n = sizes[start:stop]
-            x = np.repeat(who[start:stop], n)
-            offsets = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            y = order[np.repeat(at[hit[start:stop]], n) + offsets]
-            keep = (x < y) | ~own[y]
-            x, y = x[keep], y[keep]
-            near = np.bitwise_count(prints[x, 0] ^ prints[y, 0]).astype(np.int16) + np.bitwise_count(prints[x, 1] ^ prints[y, 1])
-            keep = near <= radius
-            yield x[keep], y[keep]
-            start = stop
+    width -= prefix
+    values = bit_range(prints, first, width + prefix)
+    alone = bool(own.all())
+    if not alone and own.any():
+        r -= int(values[own][0] >> width ^ values[~own][0] >> width).bit_count()
+    if r < 0 or not own.any():
+        return
+    values &= (1 << width) - 1
+    mine = np.flatnonzero(own)
+    a = Buckets(prints[mine], values[mine], width)
+    theirs = mine if alone else np.flatnonzero(~own)
+    b = a if alone else Buckets(prints[theirs], values[theirs], width)
+    mine, theirs = mine[a.order], theirs[b.order]
+    # the word that holds less of the segment tells most matches from near ones
+    w = 1 if first + (width + prefix) // 2 < 64 else 0
+
+    def near(x: np.ndarray, y: np.ndarray):
+        close = np.bitwise_count(a.words[0][x] ^ b.words[0][y]) + np.bitwise_count(a.words[1][x] ^ b.words[1][y]) <= radius
+        if close.any():
+            yield mine[x[close]], theirs[y[close]]
+
+    def matches(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """Near ones of each row and ``sizes`` rows of b from ``starts``."""
+        i = 0
+        while i < len(rows):  # the first match of every row
+            x, y = rows[i : i + block], starts[i : i + block]
+            hit = np.flatnonzero(np.bitwise_count(a.words[w][x] ^ b.words[w][y]) <= radius)
+            yield from near(x[hit], y[hit])
+            i += block
+        more = np.flatnonzero(sizes > 1)
+        rows, starts, sizes = rows[more], starts[more] + 1, sizes[more] - 1
+        total = np.cumsum(sizes, dtype=np.int64)
+        i = 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + block, "right")))
+            n, begin = sizes[i:j].astype(np.int64), starts[i:j].astype(np.int64)
+            ends = np.cumsum(n)
+            y = np.arange(ends[-1]) + np.repeat(begin - (ends - n), n)
+            differ = np.repeat(a.words[w][rows[i:j]], n)
+            differ ^= b.words[w][y]
+            hit = np.flatnonzero(np.bitwise_count(differ) <= radius)
+            yield from near(rows[i:j][np.searchsorted(ends, hit, "right")], y[hit])
+            i = j
+
+    masks = sorted(ball(width, r))
+    if alone:  # within a value each row meets those behind it
+        rows = np.arange(len(mine))
+        behind = np.repeat(a.edges[1:], np.diff(a.edges)) - rows - 1
+        some = np.flatnonzero(behind)
+        yield from matches(rows[some], rows[some] + 1, behind[some])
+        masks = masks[1:]
+    high, asking, wanted = 0, np.arange(len(mine)), a.values
+    for mask in masks:
+        if alone and high != mask.bit_length():
+            high = mask.bit_length()
+            asking = np.flatnonzero(a.values >> (high - 1) & 1 == 0)
+            wanted = a.values[asking]
+        hit, begin, n = b.find(wanted ^ mask)
+        yield from matches(asking[hit], begin, n)
 
 
 def near_edges(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20) -> DataFrame:
@@ -136,7 +208,7 @@ def near_edges(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20) ->
 
     One task holds one segment's table, or one pair of value groups of it where a table would pass
     ``rows_per_task``: groups share their first p bits, and only pairs of groups whose prefixes differ in no
-    more bits than the ball may are formed. Each task returns a spanning forest of its pairs, so groups of
+    more bits than the ball may are formed, each pair once. Each task returns a spanning forest of its pairs, so groups of
     thousands of copies cost a row a copy.
     """
     n = prints.count()
@@ -144,6 +216,7 @@ def near_edges(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20) ->
     spans, radii = plan
     p = max(0, (n // rows_per_task).bit_length())
     jobs = [(s, g, h) for s, r in enumerate(radii) if r >= 0 for g in range(1 << p) for h in range(g, 1 << p) if (g ^ h).bit_count() <= r]
+    jobs.sort(key=lambda j: (j[1] ^ j[2]).bit_count())  # the long ones first
 
     def find(batches):
         held = [b for b in batches if b.num_rows]
@@ -156,12 +229,11 @@ def near_edges(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20) ->
             s, g, h = jobs[j]
             ids = mine.column("id").to_numpy()
             both = np.stack([mine.column("hi").to_numpy(), mine.column("lo").to_numpy()], axis=1).view(np.uint64)
-            side = mine.column("side").to_numpy(zero_copy_only=False).astype(bool)
+            first, width = spans[s]
+            side = bit_range(both, first, width) >> (width - p) == g
             found_u, found_v = [], []
             held = 0
-            for x, y in pairs_within(both, plan, s, radius, side):
-                if g != h:
-                    x, y = x[~side[y]], y[~side[y]]
+            for x, y in pairs_within(both, plan, s, radius, side, prefix=p) if g == h or not side.all() else ():
                 found_u.append(ids[x])
                 found_v.append(ids[y])
                 held += len(x)
@@ -173,23 +245,24 @@ def near_edges(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20) ->
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def route(batches):
-        by: dict[tuple[int, int], list[tuple[int, bool]]] = {}
+        by: dict[tuple[int, int], list[int]] = {}
         for j, (s, g, h) in enumerate(jobs):
-            by.setdefault((s, g), []).append((j, True))
-            if g != h:
-                by.setdefault((s, h), []).append((j, False))
+            for group in {g, h}:
+                by.setdefault((s, group), []).append(j)
         for batch in batches:
             both = np.stack([batch.column("hi").to_numpy(), batch.column("lo").to_numpy()], axis=1).view(np.uint64)
             for s, (first, width) in enumerate(spans):
                 group = bit_range(both, first, width) >> (width - p)
+                takes, sent = [], []
                 for g in np.unique(group):
-                    take = pa.array(np.flatnonzero(group == g))
-                    part = batch.take(take)
-                    for j, side in by.get((s, int(g)), ()):
-                        k = part.num_rows
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, j, np.int32)), pa.array(np.full(k, side)), *part.columns], names=["job", "side", "id", "hi", "lo"])
-
-    routed = prints.mapInArrow(route, "job int, side boolean, id long, hi long, lo long")
+                    rows = np.flatnonzero(group == g)
+                    for j in by.get((s, int(g)), ()):
+                        takes.append(rows)
+                        sent.append(np.full(len(rows), j, np.int32))
+                if takes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sent)), *batch.take(pa.array(np.concatenate(takes))).columns], names=["job", "id", "hi", "lo"])
+
+    routed = prints.mapInArrow(route, "job int, id long, hi long, lo long")
     return routed.repartitionById(len(jobs), F.col("job")).mapInArrow(find, "u long, v long")
 
 

@@ -55,6 +55,34 @@ def test_pairs_of_every_plan():
         assert got == want
 
 
+def test_each_pair_of_groups_is_searched_for_itself():
+    """Own rows meet the others, not once more each other, whatever prefix tells them apart."""
+    p = near_points(np.random.RandomState(5), 600, 22)
+    d = np.bitwise_count(p[:, None] ^ p[None]).sum(-1)
+    plan = simhash.segment_plan(600, 22)
+    own = simhash.bit_range(p, *plan[0][0]) >> plan[0][0][1] - 1 == 0
+    got, mixed = [], np.arange(600) % 2 == 0
+    for s in range(len(plan[0])):
+        for x, y in simhash.pairs_within(p, plan, s, 22, mixed):
+            assert mixed[x].all() and not mixed[y].any()
+            got += zip(x.tolist(), y.tolist())
+    assert set(got) == {(a, b) for a, b in np.argwhere(d <= 22).tolist() if a % 2 == 0 and b % 2}
+    for prefix in (0, 1):
+        found = [(a, b) for x, y in simhash.pairs_within(p, plan, 0, 22, own, prefix=prefix) for a, b in zip(x.tolist(), y.tolist())]
+        v, (_, r) = simhash.bit_range(p, *plan[0][0]), (0, plan[1][0])
+        want = [(a, b) for a, b in np.argwhere(d <= 22).tolist() if own[a] and not own[b] and int(v[a] ^ v[b]).bit_count() <= r]
+        assert sorted(found) == sorted(want)
+
+
+@pytest.mark.parametrize("n, most", [(235_998, 20_000), (2_800_000, 60_000), (14_000_000, 250_000)])
+def test_work_of_a_point_is_bounded(n, most):
+    """Lookups and five times the evenly spread matches of a point, at 0.5, 6 and 30 GB of documents."""
+    from math import comb
+
+    masks = [(w, sum(comb(w, k) for k in range(r + 1))) for (_, w), r in zip(*simhash.segment_plan(n, 22))]
+    assert sum(b + 5 * b * n / 2**w for w, b in masks) < most
+
+
 def test_fingerprint_is_the_sign_of_summed_hashes():
     from hashlib import md5
 
