@@ -5,7 +5,8 @@ task of a hash partition of all words. There the words are laid out as one array
 neighbours, and an inverted index holds, for each token pair that merges, the positions where it stands. Merges are applied in
 rank order, each to all its positions in all words at once; only pairs at the touched neighbours are looked up anew.
 So every word is replayed once in the corpus, however many texts hold it. The words' ids return to the units that asked and
-are gathered into documents. Texts are split into words once and are not exchanged: word numbers are.
+are gathered into documents. Texts are split into words once; neither they nor their word numbers are exchanged: units lie in
+buckets, where the answers join them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Index, byte_strings, chunks, list_array, ragged, stored
+from .common import Index, byte_strings, chunks, list_array, ragged, stored_by
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -126,11 +127,14 @@ def decode(ids: np.ndarray, counts: np.ndarray, ranks: Ranks) -> list[bytes]:
     return [text[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)]
 
 
-#: Distinct words of a unit, bytes of text for each part of all words, and new words that are replayed together.
-UNIT_WORDS, PART_BYTES, REPLAY_WORDS = 1 << 18, 64 << 20, 1 << 18
+#: Distinct words and bytes of text of a unit, bytes of text for each part of all words, and new words that are replayed together.
+UNIT_WORDS, UNIT_BYTES, PART_BYTES, REPLAY_WORDS = 1 << 18, 64 << 20, 64 << 20, 1 << 18
+#: Spark's own bound on buckets.
+MOST_BUCKETS = 100_000
 #: What a blob holds: words of one part, the part of each of a unit's words, documents.
 ASSIGNED, DOCUMENTS = -1, -2
 BLOBS = "unit long, part int, blob binary"
+DOCUMENT_IDS = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("exact", pa.bool_())])
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -164,7 +168,7 @@ def number_words(df: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame
     """
 
     def run(batches):
-        pattern, unit, ids = regex.compile(PATTERN), TaskContext.get().partitionId() << 20, Index()
+        pattern, unit, ids, held = regex.compile(PATTERN), TaskContext.get().partitionId() << 20, Index(), 0
         for part in chunks(batches, "t"):
             column, ident = part.column("t"), part.column("d")
             flat, sizes = [], np.zeros(part.num_rows, np.int32)
@@ -172,12 +176,14 @@ def number_words(df: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame
                 words = pattern.findall(t) if t else []
                 sizes[i] = len(words)
                 flat.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-            marks = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in byte_strings(column)]), np.int64)
+            texts = byte_strings(column)
+            held += sum(map(len, texts))
+            marks = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in texts]), np.int64)
             nulls = ident.is_null().to_numpy(zero_copy_only=False) + np.uint8(2) * column.is_null().to_numpy(zero_copy_only=False)
             yield blob_rows([unit], [DOCUMENTS], [pack(pc.fill_null(ident, 0).to_numpy(), nulls.astype(np.uint8), sizes, marks, np.concatenate(flat))])
-            if len(ids) > UNIT_WORDS:
+            if len(ids) > UNIT_WORDS or held > UNIT_BYTES:
                 yield words_of(unit, ids)
-                unit, ids = unit + 1, Index()
+                unit, ids, held = unit + 1, Index(), 0
         yield words_of(unit, ids)
 
     def words_of(unit: int, ids: Index):
@@ -229,33 +235,26 @@ def replay_words(words: DataFrame, vocabulary, parts: int) -> DataFrame:
     return words.repartitionById(parts, F.col("part")).mapInArrow(run, BLOBS)
 
 
-def gather(blobs: DataFrame, vocabulary) -> DataFrame:
-    """Documents' ids from blobs sorted by unit, in each the answers first, then the words' parts, then documents."""
+def gather(numbered: DataFrame, answers: DataFrame, vocabulary) -> DataFrame:
+    """Documents' ids from the blobs of each unit and the answers to its words."""
 
-    def run(batches):
+    def run(unit: pa.Table, answered: pa.Table) -> pa.Table:
         ranks = Ranks(vocabulary.value)
-        now, answers, begin, sizes, tokens = None, {}, None, None, None
-        for batch in batches:
-            for unit, part, blob in zip(*(batch.column(c).to_pylist() for c in ("unit", "part", "blob"))):
-                if unit != now:
-                    now, answers = unit, {}
-                arrays = unpack(blob)
-                if part >= 0:
-                    answers[part] = arrays
-                elif part == ASSIGNED:
-                    of, at, pieces = arrays[0], 0, []
-                    begin, sizes = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
-                    order = np.argsort(of, kind="stable")
-                    edges = np.searchsorted(of[order], np.arange(int(of.max(initial=0)) + 2))
-                    for p, (n, flat) in answers.items():
-                        mine = order[edges[p] : edges[p + 1]]
-                        sizes[mine] = n
-                        begin[mine] = at + np.cumsum(n, dtype=np.int64) - n
-                        at += len(flat)
-                        pieces.append(flat)
-                    tokens, answers = np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32), {}
-                else:
-                    yield documents(arrays, begin, sizes, tokens, ranks)
+        found = {p: unpack(b) for p, b in zip(answered.column("part").to_pylist(), answered.column("blob").to_pylist())}
+        kinds, blobs = unit.column("part").to_pylist(), unit.column("blob").to_pylist()
+        (of,), at, pieces = unpack(blobs[kinds.index(ASSIGNED)]), 0, []
+        begin, sizes = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(int(of.max(initial=0)) + 2))
+        for p, (n, flat) in found.items():
+            mine = order[edges[p] : edges[p + 1]]
+            sizes[mine] = n
+            begin[mine] = at + np.cumsum(n, dtype=np.int64) - n
+            at += len(flat)
+            pieces.append(flat)
+        tokens = np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32)
+        done = [documents(unpack(b), begin, sizes, tokens, ranks) for kind, b in zip(kinds, blobs) if kind == DOCUMENTS]
+        return pa.Table.from_batches(done, DOCUMENT_IDS)
 
     def documents(arrays, begin, sizes, tokens, ranks):
         ident, nulls, counts, marks, flat = arrays
@@ -269,7 +268,8 @@ def gather(blobs: DataFrame, vocabulary) -> DataFrame:
             lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array((nulls & 2) > 0))
         return pa.RecordBatch.from_arrays([pa.array(ident, mask=(nulls & 1) > 0), lists, pa.array(per, pa.int32()), pa.array(exact)], names=["doc_id", "token_ids", "n_tokens", "exact"])
 
-    return blobs.mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, exact boolean")
+    documents_of = numbered.where("part < 0").groupBy("unit").cogroup(answers.groupBy("unit"))
+    return documents_of.applyInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, exact boolean")
 
 
 def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
@@ -282,12 +282,11 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
     """
     vocabulary = _vocabulary(df, path)
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(tasks, -(-(df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
-    numbered = stored(number_words(df, doc_id, text, parts), "word-numbers")
-    answers = replay_words(numbered.where("part >= 0"), vocabulary, parts)
-    units = max(tasks, numbered.where(F.col("part") == ASSIGNED).count())
-    both = answers.unionByName(numbered.where("part < 0")).repartition(units, "unit").sortWithinPartitions("unit", F.col("part").desc())
-    return gather(both, vocabulary)
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(tasks, -(-size // PART_BYTES))
+    buckets = min(max(tasks, -(-size // UNIT_BYTES)), MOST_BUCKETS)
+    numbered = stored_by(number_words(df, doc_id, text, parts), "word-numbers", "unit", buckets)
+    return gather(numbered, replay_words(numbered.where("part >= 0"), vocabulary, parts), vocabulary)
 
 
 def _vocabulary(df: DataFrame, path: str):

@@ -46,6 +46,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``stored``, with the rows in ``buckets`` by a hash of ``key``, so that grouping by it reads them in place, without an exchange.
+
+    Spark writes buckets through its catalog only: a table of a free name stands there until the files are written.
+    """
+    spark, table = df.sparkSession, f"seqweave_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    try:
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+        out = spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # the files stay, as their path was given
+    out._stored_at = path
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

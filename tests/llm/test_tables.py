@@ -171,6 +171,24 @@ def test_units_and_stretches_change_nothing(spark, monkeypatch):
     assert sorted(map(repr, bpe.encode_corpus(docs.repartition(4)).collect())) == want
 
 
+def test_word_numbers_are_stored_and_not_exchanged(spark, monkeypatch):
+    from seqweave.llm import common
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = sorted(map(repr, bpe.encode_corpus(docs).collect()))
+    monkeypatch.setattr(bpe, "UNIT_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "chunks", lambda batches, column: common.chunks(batches, column, 5_000))
+    before = common.written()
+    out = bpe.encode_corpus(docs.repartition(3))
+    assert spark.read.parquet(common.written()[-1]).select("unit").distinct().count() > 12
+    assert sorted(map(repr, out.collect())) == want and not [t for t in spark.catalog.listTables() if t.name.startswith("seqweave")]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # the words go to their parts and the answers to their units; documents stay in their buckets
+    assert plan.count(" Exchange hashpartitioning") == 1 and plan.count(" Exchange ") == 2 and "Bucketed: true" in plan
+    common.discard_since(spark, before)
+    assert common.written() == before
+
+
 # ---- pseudonyms
 
 
