@@ -61,21 +61,36 @@ def rounded_timecode(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", F.floor(s / 3600), F.floor(s % 3600 / 60), F.floor(s % 60), F.bround((s % 1) * 1000).cast("int"))
 
 
-def parse_timecode(text: Column) -> Column:
-    """Seconds of [H]H:MM:SS with or without ,mmm or .mmm; null for another shape."""
-    t = F.replace(strip(text), F.lit(","), F.lit("."))
+def _cleaned(text: Column) -> Column:
+    return F.replace(strip(text), F.lit(","), F.lit("."))
+
+
+def _seconds(t: Column) -> Column:
     shape = r"^(\d+) *: *(\d+) *: *(\d+\.?\d*|\.\d+)$"
     part = lambda i: F.regexp_extract(t, shape, i)
     return F.when(F.regexp_like(t, F.lit(shape)), part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double"))
 
 
+def parse_timecode(text: Column) -> Column:
+    """Seconds of [H]H:MM:SS with or without ,mmm or .mmm; null for another shape."""
+    return _seconds(_cleaned(text))
+
+
+def line_times(line: Column) -> Column:
+    """Seconds of each of a line's parts between ' --> ', null for one of another shape; every part is cleaned once."""
+    return F.transform(F.transform(F.split(strip(line), " --> "), _cleaned), _seconds)
+
+
+def both_times(times: Column) -> tuple[Column, Column]:
+    """Start and end of line_times; null if they aren't two or one is null."""
+    start, end = F.try_element_at(times, F.lit(1)), F.try_element_at(times, F.lit(2))
+    whole = (F.size(times) == 2) & start.isNotNull() & end.isNotNull()
+    return F.when(whole, start), F.when(whole, end)
+
+
 def parse_times(line: Column) -> tuple[Column, Column]:
     """Start and end of a cue's time line: two time codes with ' --> ' between them and nothing else; null for another line."""
-    parts = F.split(strip(line), " --> ")
-    two = F.size(parts) == 2
-    start, end = (F.when(two, parse_timecode(F.try_element_at(parts, F.lit(i)))) for i in (1, 2))
-    whole = start.isNotNull() & end.isNotNull()
-    return F.when(whole, start), F.when(whole, end)
+    return both_times(line_times(line))
 
 
 def without_stops(text: Column) -> Column:

@@ -76,12 +76,17 @@ def read_blocks(spark: SparkSession, paths: str | Sequence[str], validate: bool
 
 
 def parse_blocks(files: DataFrame, validate: bool = True) -> DataFrame:
-    """Blocks of (transcript_id, value): parted by empty lines, a line of blanks is none; time lines are read as S.parse_times does."""
+    """Blocks of (transcript_id, value): parted by empty lines, a line of blanks is none; time lines are read as S.parse_times does.
+
+    A block's lines and times come from generators: a filter on a generated column isn't moved below it, where all
+    that the column is made of would be written out, and computed, once for each use.
+    """
     text = F.replace(F.regexp_replace("value", "^﻿", ""), F.lit("\r\n"), F.lit("\n"))
     blocks = files.select("transcript_id", F.posexplode(F.split(S.strip(text), r"\n\n+")).alias("at", "b"))
-    lines = blocks.select("transcript_id", "at", F.split(S.strip(F.col("b")), "\n").alias("l")).where("size(l) >= 2")
+    lines = blocks.select("transcript_id", "at", F.explode(F.array(F.split(S.strip(F.col("b")), "\n"))).alias("l")).where("size(l) >= 2")
+    lines = lines.select("*", F.explode(F.array(S.line_times(F.element_at("l", 2)))).alias("times"))
     body = F.slice("l", F.lit(3), F.greatest(F.size("l") - 2, F.lit(0)))
-    start, end = S.parse_times(F.element_at("l", 2))
+    start, end = S.both_times(F.col("times"))
     full = F.array_join(body, "\n")
     if validate:
         full = F.array_join(F.filter(F.transform(body, S.strip), lambda x: x != ""), " ")

@@ -42,6 +42,16 @@ def test_blocks_strict_and_lenient(spark, tmp_path):
     assert sources.read_blocks(spark, str(tmp_path / "b.srt"), validate=False).count() == 3
 
 
+def test_a_block_is_parsed_once(spark):
+    times = {"1:2:3 --> 1 : 02:03.": (3723.0, 3723.0), "0:0:.5 --> 0:0:1,25\u3000": (0.5, 1.25), "0:0:1 --> 0:0:2 --> 0:0:3": None, "0:0:1 --> x": None, "x --> 0:0:1": None, "0:0:1": None, " --> ": None}
+    files = spark.createDataFrame([("f", "\n\n".join(f"{i}\n{t}\nx" for i, t in enumerate(times)))], "transcript_id string, value string")
+    valid, every = sources.parse_blocks(files), sources.parse_blocks(files, validate=False)
+    assert [(r["index"], r.start, r.end) for r in valid.orderBy("pos").collect()] == [("0", 3723.0, 3723.0), ("1", 0.5, 1.25)]
+    assert [(r.start, r.end) for r in every.orderBy("pos").collect()] == [t or (None, None) for t in times.values()]
+    for d in (valid, every):
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+
+
 def test_sentences_of_mixed_inputs(spark, tmp_path):
     doc = {"language_code": "jpn", "text": "", "words": [word("はい。", 0.0, 0.5), word(" ", 0.6, 0.7), word("いえ", 2.0, 2.5)]}
     (tmp_path / "a.JSON").write_text(json.dumps(doc))
