@@ -85,23 +85,27 @@ def line_packing(df: DataFrame, key: Sequence[str], limit: int = LINE_CHARS, lea
 
 def next_section_tokens(df: DataFrame, key: Sequence[str], enders: str = SENTENCE_ENDERS, comma: str = COMMA) -> DataFrame:
     """Adds next_tokens: tokens from the next row up to and with its next mark, within the same speaker; pauses don't count."""
-    stops = F.lag(last_char_in(F.col("text"), enders + comma)).over(over(key))
-    d = label_runs(df, speaker_change(key) | stops, key, "__section")
-    w = over(key)
-    section = over([*key, "__section"])
-    rest = F.sum("morph_count").over(section.rowsBetween(1, W.unboundedFollowing))
+    return _with_sections(df, key, enders, comma).drop("__section")
+
+
+def _with_sections(df: DataFrame, key: Sequence[str], enders: str, comma: str, order: Sequence[str] = ("pos",)) -> DataFrame:
+    """next_section_tokens and __section, which numbers the sections: rows lie by key, __section and order, the same as by key and order."""
+    stops = F.lag(last_char_in(F.col("text"), enders + comma)).over(over(key, order))
+    d = label_runs(df, speaker_change(key, order=order) | stops, key, "__section", order)
+    section = over([*key, "__section"], order)
+    so_far = F.sum("morph_count").over(section.rowsBetween(W.unboundedPreceding, W.currentRow))
     whole = F.sum("morph_count").over(section.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    d = d.withColumn("__rest", F.coalesce(rest, F.lit(0))).withColumn("__tokens", whole)
-    w = over(key)
+    d = d.withColumn("__tokens", whole).withColumn("__rest", F.coalesce("__tokens", F.lit(0)) - F.coalesce(so_far, F.lit(0)))
+    w = over(key, ("__section", *order))
     last = F.coalesce(F.lead("__section").over(w) != F.col("__section"), F.lit(False))
     same = F.lead("speaker").over(w).eqNullSafe(F.col("speaker"))
     after = F.when(last & same, F.coalesce(F.lead("__tokens").over(w), F.lit(0))).when(last, 0).otherwise(F.col("__rest"))
-    return d.withColumn("next_tokens", after.cast("int")).select(*df.columns, "next_tokens")
+    return d.withColumn("next_tokens", after.cast("int")).select(*df.columns, "next_tokens", "__section")
 
 
 def sentence_cues(df: DataFrame, key: Sequence[str], enders: str = SENTENCE_ENDERS, comma: str = COMMA, least_gap=MERGE_GAP, label: str = "cue_id", order: Sequence[str] = ("pos",)) -> DataFrame:
     """A sentence a cue, long ones cut at commas unless that leaves a tiny rest behind a small cue."""
-    ahead = next_section_tokens(df, key, enders, comma)
+    ahead = _with_sections(df, key, enders, comma, order)
 
     def start():
         state = {"id": 0, "open": False, "tokens": 0}
@@ -121,7 +125,7 @@ def sentence_cues(df: DataFrame, key: Sequence[str], enders: str = SENTENCE_ENDE
 
         return step
 
-    return fold_labels(ahead, key, ("text", "start", "end", "speaker", "morph_count", "next_tokens"), start, label, order).drop("next_tokens")
+    return fold_labels(ahead, key, ("text", "start", "end", "speaker", "morph_count", "next_tokens"), start, label, ("__section", *order)).drop("next_tokens", "__section")
 
 
 def merge_tiny_segments(df: DataFrame, key: Sequence[str], tiny: int = TINY_CHARS, limit: int = LINE_CHARS, least_gap=MERGE_GAP, stop: str = "。", segment: str = "segment_id") -> DataFrame:

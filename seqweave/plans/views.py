@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 ENDERS, COMMA = ".!?", ","
+TASK_BYTES = 2 << 20  # of the conversations' files, some 500,000 words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_size(df: DataFrame, *key: str) -> DataFrame:
+    """Rows of a key together, in as many parts as the files of df call for: what a task holds doesn't grow with the table.
+
+    The setting for shuffles is the same for any input, and what follows makes many rows of one.
+    """
+    spark = df.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(least, -(-size // TASK_BYTES)), *key)
+
+
 def timed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, pos, turn, speaker, text, morph_count, start, end of every word."""
-    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), F.posexplode(F.split("text", r"\s+")).alias("i", "text")).where("text <> ''")
+    words = by_size(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", F.col("role").alias("speaker"), F.posexplode(F.split("text", r"\s+")).alias("i", "text")).where("text <> ''")
     order = W.partitionBy("conv_id").orderBy("turn", "i")
     words = words.withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
     last = F.right("text", F.lit(1))
